@@ -94,6 +94,14 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _confirm(kind: str):
+    return lambda s: confirmed(kind, s["text"])
+
+
+def _score(kind: str):
+    return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(kind, s["gap"]).alias("score"))
+
+
 def score(kind: str, gap: Column) -> Column:
     near = F.lower(gap)
     hit = F.lit(False)
@@ -110,24 +118,11 @@ def find_pii(docs: DataFrame, threshold: float = 0.6, nearby: int = 40, id_col:
         gate = text.contains(GATES[kind]) if kind in GATES else None
         found = S.matches(text, kind, PATTERNS[kind], gap=nearby, when=gate)
         # A first filter before scoring; repeated fields are computed once per match.
-        good = F.filter(found, lambda s, k=kind: confirmed(k, s["text"]))
-        scored = F.transform(good, lambda s, k=kind: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(k, s["gap"]).alias("score")))
+        good = F.filter(found, _confirm(kind))
+        scored = F.transform(good, _score(kind))
         rows = rows.withColumn(f"_{kind}", scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= threshold))
     return rows.select(
         "doc_id",
         F.concat(*(F.col(f"_{k}") for k in BASE)).alias("base"),
         F.concat(*(F.col(f"_{k}") for k in [*BASE, *EXTRA])).alias("spans"),
     )
-
-
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by <kind>; of overlapping spans the first counts."""
-    state = F.aggregate(
-        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("parts"))
-        ),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(text, a["at"] + 1)),
-    )
-    return F.when(F.size(spans) > 0, state).otherwise(text)

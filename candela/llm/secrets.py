@@ -192,6 +192,14 @@ def _bit(bits: Column, position: Column) -> Column:
     return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
 
 
+def _long_enough(rule: Rule):
+    return lambda s: F.length(s["group"] if rule.group else s["text"]) >= rule.least
+
+
+def _keyed(place: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
+
+
 def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, base spans and all spans (array of kind, start, end, text), sorted by start, then kind as listed.
 
@@ -216,18 +224,32 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
             gate = F.col("block").isNull() | _bit(F.col("bits")[rule.kind], position)
         spans = S.matches(text, rule.kind, rule.pattern, rule.group, when=gate)
         if rule.least:
-            spans = F.filter(spans, lambda s, r=rule: F.length(s["group"] if r.group else s["text"]) >= r.least)
+            spans = F.filter(spans, _long_enough(rule))
         rows = rows.withColumn(f"_{rule.kind}", spans)
     place = {r.kind: k for k, r in enumerate(rules)}
 
     def sort(kinds: list[str]) -> Column:
-        keyed = F.concat(*(F.transform(F.col(f"_{k}"), lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(place[k]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))) for k in kinds))
+        keyed = F.concat(*(F.transform(F.col(f"_{k}"), _keyed(place[k])) for k in kinds))
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
     base = [r.kind for r in rules if r in BASE]
     return rows.select(
         *(F.col(f"`own.{i}`").alias(c) for i, c in enumerate(own)),
         *([] if keep else [F.col("sid").alias("doc_id")]),
-        (sort(base) if base else F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")).alias("base_spans" if keep else "base"),
+        (sort(base) if base else F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")).alias("secret_base" if keep else "base"),
         sort([r.kind for r in rules]).alias("secret_spans" if keep else "spans"),
     )
+
+
+def redact_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with every secret replaced by its kind in brackets; a length column follows the text."""
+    found = find_secrets(docs, rules, id_col, text_col, keep=True)
+    text = S.redact(F.col(f"`{text_col}`"), F.col("secret_spans"))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = found.select(*columns)
+    if length_col in docs.columns:
+        # Only where the text changed: a length that disagreed before is left as it is.
+        kind = docs.schema[length_col].dataType
+        length = F.when(F.size("secret_spans") > 0, F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`"))
+        out = found.select(*(length.alias(c) if c == length_col else x for c, x in zip(docs.columns, columns)))
+    return out

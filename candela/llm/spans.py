@@ -45,3 +45,18 @@ def joined(spans: Column) -> Column:
 
 def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by <kind>; a span that overlaps the one before it widens that one's gap."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(state: Column, s: Column) -> Column:
+        clear = F.substr(text, state["at"] + 1, s["start"] - state["at"])
+        wide = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["parts"].alias("parts"))
+        cut = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(clear, F.concat(F.lit("<"), s["kind"], F.lit(">")))).alias("parts"))
+        return F.when((s["start"] < state["at"]) & (state["at"] > 0), wide).otherwise(cut)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    whole = F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
