@@ -70,17 +70,22 @@ class Schedule:
             sent = [min(t, s + took * r // whole) for s, t, r in zip(sent, totals, rates)]
             at += took
         self.end = at
-        self.starts = [p[0] for p in self.phases]
-        self.spans = -(-self.end // self.span) if self.end else 0
+        # Spans start anew with each phase, so that the rates inside a span are constant.
+        lengths = [b[0] - a[0] for a, b in zip(self.phases, self.phases[1:] + [(self.end,)])]
+        self.first = [0]
+        for n in lengths:
+            self.first.append(self.first[-1] - (-n // self.span))
+        self.spans = self.first[-1]
         self._edge = lru_cache(4096)(self._edge)
         self._plan = lru_cache(64)(self._plan)
 
     def _edge(self, span: int) -> tuple[list[int], list[tuple[int, int]]]:
         """(sent by each queue when the span begins, its deficit then as a fraction)."""
-        v = min(span * self.span, self.end)
-        if v >= self.end:
+        if span >= self.spans:
             return list(self.totals), [(0, 1)] * len(self.totals)
-        at, sent, rates, whole = self.phases[bisect.bisect_right(self.starts, v) - 1]
+        phase = bisect.bisect_right(self.first, span) - 1
+        at, sent, rates, whole = self.phases[phase]
+        v = at + (span - self.first[phase]) * self.span
         gone = [divmod((v - at) * r, whole) for r in rates]
         now = [min(t, s + g) for s, t, (g, _) in zip(sent, self.totals, gone)]
         return now, [(f, whole) if n < t else (0, 1) for n, t, (_, f) in zip(now, self.totals, gone)]
