@@ -244,12 +244,16 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
 def redact_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret replaced by its kind in brackets; a length column follows the text."""
     found = find_secrets(docs, rules, id_col, text_col, keep=True)
-    text = S.redact(F.col(f"`{text_col}`"), F.col("secret_spans"))
-    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    out = found.select(*columns)
-    if length_col in docs.columns:
-        # Only where the text changed: a length that disagreed before is left as it is.
-        kind = docs.schema[length_col].dataType
-        length = F.when(F.size("secret_spans") > 0, F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`"))
-        out = found.select(*(length.alias(c) if c == length_col else x for c, x in zip(docs.columns, columns)))
-    return out
+    clean, dirty = F.col("secret_clean"), F.size("secret_spans") > 0
+    # Two steps: a select's own alias `text` must not be taken for the column.
+    found = found.withColumn("secret_clean", S.redact(F.col(f"`{text_col}`"), F.col("secret_spans")))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return clean.alias(name)
+        if name == length_col:
+            # Only where the text changed: a length that disagreed before is left as it is.
+            return F.when(dirty, F.length(clean).cast(docs.schema[name].dataType)).otherwise(F.col(f"`{name}`")).alias(name)
+        return F.col(f"`{name}`")
+
+    return found.select(*map(column, docs.columns))
