@@ -11,6 +11,7 @@ from . import bpe, chat, exact_dedup, neardup, packing, pii, quality, secrets, t
 from . import spans as S
 from .common import read_table
 from .encoding import read_spec
+from .oracles import ORACLES  # noqa: F401
 
 
 def _vocabulary_path(name: str) -> str:
@@ -82,4 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
