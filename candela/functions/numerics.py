@@ -39,12 +39,3 @@ def safe_ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
 def gt(a: Column, b: Column) -> Column:
     """a > b, false if either is NaN."""
     return ~F.isnan(a) & ~F.isnan(b) & (a > b)
-
-
-def skip_nan_max(*cs: Column) -> Column:
-    """Largest of the values that aren't NaN; NaN if all are."""
-    return F.coalesce(F.greatest(*(finite_or_null(c) for c in cs)), F.lit(NAN))
-
-
-def skip_nan_min(*cs: Column) -> Column:
-    return F.coalesce(F.least(*(finite_or_null(c) for c in cs)), F.lit(NAN))

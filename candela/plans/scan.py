@@ -7,16 +7,26 @@ task never holds more than one batch, however long a key's series is.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package when only the driver's sys.path has it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+
+
 def _changes(batch: pa.RecordBatch, keys: list[int]) -> list[int]:
     """Rows at which the key differs from the row before."""
     n = batch.num_rows
@@ -32,6 +42,7 @@ def _changes(batch: pa.RecordBatch, keys: list[int]) -> list[int]:
 
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], scans: list[tuple[str, Callable, list[str], int]]) -> DataFrame:
     """df with the columns of the scans. scans: (output base name, kernel maker, input columns, outputs)."""
+    share_code(df.sparkSession)
     names = df.columns
     key_at, in_at = [names.index(k) for k in keys], [[names.index(c) for c in ins] for _, _, ins, _ in scans]
     outputs = [f"{base}{k}" for base, _, _, count in scans for k in range(count)]

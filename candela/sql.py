@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from .operators import kernels as K
+from .plans.scan import share_code
 
 #: name -> (kernel from the parameters, value columns after key and order, outputs, bars without a value)
 TABLE_FUNCTIONS = {
@@ -42,6 +43,7 @@ def _function(make, inputs: int, outputs: tuple[str, ...], lookback):
 
 def register(spark: SparkSession) -> list[str]:
     """Registers the table functions with the session; returns their names."""
+    share_code(spark)
     for name, parts in TABLE_FUNCTIONS.items():
         spark.udtf.register(name, _function(*parts))
     return sorted(TABLE_FUNCTIONS)

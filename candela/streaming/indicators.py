@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.kernels import Maker
+from ..plans.scan import share_code
 
 
 def stream_scan(bars: DataFrame, scans: dict[str, tuple[Maker, list[str], int]], key: str = "key", order: str = "ts", watermark: str | None = None) -> DataFrame:
@@ -26,6 +27,7 @@ def stream_scan(bars: DataFrame, scans: dict[str, tuple[Maker, list[str], int]],
     several outputs give name_0, name_1, ...  watermark: how late bars may come; later
     ones are dropped before they reach the state.
     """
+    share_code(bars.sparkSession)
     if watermark:
         bars = bars.withWatermark(order, watermark)
     order_type = bars.schema[order].dataType.simpleString()
