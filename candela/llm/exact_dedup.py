@@ -28,10 +28,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, work_path
+from .common import shuffle_parts, stage, work_path
 
 SPACE = r"[\x20\x09-\x0D]"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings of the state: RocksDB, small changelogs in place of snapshots at each commit.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+#: Keys that one state store should hold. Each store has a fixed cost (RocksDB reserves 4 MB for its
+#: manifest alone), so there are as many as the digests need, not one per shuffle partition.
+KEYS_PER_STORE = 500_000
 
 
 def normalised(text) -> object:
@@ -74,8 +82,11 @@ def preferred(columns=("chars", "doc_id", "_file", "_row")) -> object:
 
 def stream_state(spark: SparkSession, prints: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
     """digest, keep (struct), group_size: the state after all fingerprints have streamed through."""
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    stores = min(shuffle_parts(spark), max(spark.sparkContext.defaultParallelism, -(-prints.count() // KEYS_PER_STORE)))
+    settings = _STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     out, schema = work_path(spark, "exact-changes"), "digest binary, keep struct<less:bigint,none:boolean,doc_id:bigint,file:string,row:bigint>, group_size bigint, batch bigint"
     try:
         reader = spark.readStream.schema(prints.schema)
@@ -90,10 +101,11 @@ def stream_state(spark: SparkSession, prints: DataFrame, path: str, files_per_ba
         query = state.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", work_path(spark, "exact-state")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if not prints.take(1):
         return spark.createDataFrame([], schema).drop("batch")
     changes = spark.read.schema(schema).parquet(f"{out}/n=*")
@@ -110,8 +122,9 @@ def _groups(rows: DataFrame, bits: int, files_per_batch: int | None) -> DataFram
     hits = state.filter("group_size > 1").select("digest")
     members = stage(prints.join(hits, "digest", "left_semi"), "exact-hits")
     # Full bytes of every hit: grouping compares them, and copies are merged before the shuffle.
+    # The join to the texts is a merge join at every size.
     texts = rows.select("_file", "_row", "text")
-    grouped = texts.join(members, ["_file", "_row"]).withColumn("bytes", normalised(F.col("text"))).groupBy("digest", "bytes")
+    grouped = texts.join(members.hint("merge"), ["_file", "_row"]).withColumn("bytes", normalised(F.col("text"))).groupBy("digest", "bytes")
     checked = stage(grouped.agg(F.min(preferred()).alias("keep"), F.count("*").alias("group_size")), "exact-checked")
     mixed = stage(checked.groupBy("digest").count().filter("count > 1").select("digest"), "exact-mixed")
     if mixed.take(1):
