@@ -114,10 +114,11 @@ def fold(word: Column, table: Column) -> Column:
 
 
 def with_ids(words: DataFrame, ranks: dict[bytes, int], column: str) -> DataFrame:
-    """words: a column of arrays of byte strings; it becomes arrays of (ids, pieces)."""
+    """words: a column of arrays of byte strings; it becomes arrays of (ids, comma-joined; bytes: the ids' pieces, concatenated)."""
     table = rank_literal(ranks)
     encoded = F.transform(F.col(column), lambda w: fold(w, table))
-    return words.withColumn(column, F.transform(encoded, lambda pieces: F.struct(F.transform(pieces, lambda p: rank_of(table, p)).alias("ids"), pieces.alias("pieces"))))
+    joined = F.transform(encoded, lambda pieces: F.struct(F.array_join(F.transform(pieces, lambda p: rank_of(table, p).cast("string")), ",").alias("ids"), F.array_join(pieces, "").alias("bytes")))
+    return words.withColumn(column, joined)
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -141,8 +142,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
-
-        import numpy as np
+        from array import array
 
         find = _splitter(pattern).findall
         irregular = re.compile(r" (?=\s|\Z)")
@@ -158,7 +158,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 first = len(known)
 
                 def numbers(words: list[str]) -> bytes:
-                    return np.array([known.setdefault(w, len(known)) for w in words], "<u4").tobytes()
+                    return array("I", [known.setdefault(w, len(known)) for w in words]).tobytes()
 
                 out = []
                 for text in texts[lo:hi]:
@@ -185,10 +185,13 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
             for r in range(batch.num_rows):
                 if batch.column(3)[r].as_py():
                     ids_of.clear(), bytes_of.clear()
-                for word in batch.column(2)[r].as_py():
-                    ids = word["ids"]
-                    ids_of.append((len(ids), ids if not digests_only else ",".join(map(str, ids)).encode()))
-                    bytes_of.append("".join(word["pieces"]).encode("latin-1"))
+                new = batch.column(2)[r].values  # flat: the fields' values without a Python object per struct
+                texts = new.field("ids").to_pylist()
+                if digests_only:
+                    ids_of.extend((x.count(",") + 1, x.encode()) for x in texts)
+                else:
+                    ids_of.extend((len(i), i) for i in (list(map(int, x.split(","))) for x in texts))
+                bytes_of.extend(x.encode("latin-1") for x in new.field("bytes").to_pylist())
                 keys, docs_ = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
                 counts, ids_out, bytes_out = [], [], []
                 for raw in docs_:
