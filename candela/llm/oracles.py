@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import chat, pii, secrets
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -77,8 +79,13 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def _either_case(pattern: str) -> str:
+    """(?i:...) with a class for each letter: this engine would also fold the long s and the Kelvin sign."""
+    return re.sub(r"\(\?i:(.*?)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
+
+
 def op3() -> str:
-    parts = [_spans(r.kind, k, r.pattern, r.group, f"length({'g' if r.group else 'm'}) >= {r.least}") for k, r in enumerate([*secrets.BASE, *secrets.MORE])]
+    parts = [_spans(r.kind, k, _either_case(r.pattern), r.group, f"length({'g' if r.group else 'm'}) >= {r.least}") for k, r in enumerate([*secrets.BASE, *secrets.MORE])]
     kinds = [r.kind for r in secrets.BASE]
     return _report(parts, kinds, kinds, "lo, place")
 
