@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,14 +140,6 @@ def trigrams(query: object) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*(trigrams(q) for q in query[1]))
 
 
-def answer(query: object, has) -> Column:
-    """The query over has(trigram), a Boolean column for each trigram."""
-    if isinstance(query, str):
-        return has(query)
-    parts = [answer(q, has) for q in sorted(query[1], key=str)]
-    return reduce(lambda a, b: a & b if query[0] == "and" else a | b, parts)
-
-
 # --- index and search --------------------------------------------------------
 
 
@@ -165,25 +158,36 @@ def build_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_
     )
 
 
+def conjunctions(query: object) -> list[list[str]]:
+    """The query as alternatives, each a list of trigrams that must all be there.
+
+    An alternative that asks for all that another asks for, and more, adds nothing and goes.
+    """
+    if isinstance(query, str):
+        return [[query]]
+    parts = [conjunctions(q) for q in sorted(query[1], key=str)]
+    found = {frozenset(c) for p in parts for c in p} if query[0] == "or" else {frozenset().union(*pick) for pick in product(*parts)}
+    return sorted(sorted(c) for c in found if not any(other < c for other in found))
+
+
 def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
-    """block and, for each rule, the bitmap of its candidates: postings intersected (AND) and united (OR)."""
-
-    def solve(query: object) -> DataFrame:
-        if isinstance(query, str):
-            return index.filter(F.col("gram") == query).select("block", "bits")
-        single = [q for q in query[1] if isinstance(q, str)]
-        parts = [solve(q) for q in sorted(query[1] - set(single), key=str)]
-        if single:
-            parts.append(index.filter(F.col("gram").isin(sorted(single))).select("block", "bits"))
-        merged = reduce(DataFrame.unionByName, parts).groupBy("block")
-        if query[0] == "or":
-            return merged.agg(F.bitmap_or_agg("bits").alias("bits"))
-        # A block lacks the documents of an AND when one of its lists has no entry there.
-        return merged.agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("lists")).filter(F.col("lists") == len(single) + len(parts) - bool(single)).drop("lists")
-
-    lists = [solve(q).withColumn("kind", F.lit(kind)) for kind, q in queries.items()]
+    """block and, for each rule, the bitmap of its candidates.
+
+    Postings of one alternative are intersected, alternatives of one rule united: two
+    aggregations of bitmaps for all rules together.
+    """
+    wanted: dict[str, list] = {}
+    for kind, query in queries.items():
+        for term, grams in enumerate(conjunctions(query)):
+            for g in grams:
+                wanted.setdefault(g, []).append(F.struct(F.lit(kind).alias("kind"), F.lit(term).alias("term"), F.lit(len(grams)).alias("needs")))
+    uses = F.create_map(*(x for g, terms in sorted(wanted.items()) for x in (F.lit(g), F.array(*terms))))
+    asked = index.select("block", "bits", F.explode(F.element_at(uses, F.col("gram"))).alias("use")).select("block", "bits", "use.*")
+    # A block lacks the documents of an alternative when one of its lists has no entry there.
+    whole = asked.groupBy("kind", "term", "needs", "block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("lists")).filter("lists = needs")
+    united = whole.groupBy("kind", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
     by_kind = F.map_from_entries(F.collect_list(F.struct("kind", "bits")))
-    return stage(reduce(DataFrame.unionByName, lists).groupBy("block").agg(by_kind.alias("bits")), "secret-candidates")
+    return stage(united.groupBy("block").agg(by_kind.alias("bits")), "secret-candidates")
 
 
 def _bit(bits: Column, position: Column) -> Column:
@@ -207,7 +211,8 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     """
     rules = [*BASE, *MORE] if rules is None else rules
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
-    found = candidates(build_index(docs, sorted(set().union(*map(trigrams, queries.values()))), id_col, text_col), queries)
+    grams = sorted({g for q in queries.values() for c in conjunctions(q) for g in c})
+    found = candidates(build_index(docs, grams, id_col, text_col), queries)
     own = docs.columns if keep else []
     rows = docs.select(
         *(F.col(f"`{c}`").alias(f"own.{i}") for i, c in enumerate(own)),
