@@ -55,6 +55,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that only a slice's values become Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def text_slices(texts: list, budget: int = 2_000_000):
     """(from, to) ranges of a list of texts with about `budget` characters each."""
     lo = held = 0

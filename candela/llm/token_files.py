@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, shuffle_parts, stage, text_slices, work_path
+from .common import ensure_importable, shuffle_parts, small_batches, stage, text_slices, work_path
 from .encoding import encoder
 
 MAGIC = b"CNDLTOK1"
@@ -115,7 +115,7 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out
                 totals[2] += len(block)
                 doc_ids.clear(), parts.clear(), sizes.clear()
 
-            for batch in batches:
+            for batch in small_batches(batches):
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for lo, hi in text_slices(texts):
                     for key, ids in zip(keys[lo:hi], enc.arrays(texts[lo:hi])):
