@@ -9,8 +9,8 @@ Everything is a DataFrame expression.  Kinds:
 * ssn: ddd-dd-dddd; there is no checksum, so it needs a context word.
 
 Each span has a score: what its check is worth plus a bonus when one of the
-kind's context words stands in the `nearby` characters between it and the match
-before it.  Kinds beside the base ones are kept from `threshold` on; base spans
+kind's context words stands in the `nearby` characters before it, whatever else
+has matched there.  Kinds beside the base ones are kept from `threshold` on; base spans
 stay whatever their score is.
 
 Defined results: null and empty texts have no spans (empty strings); repeated rows

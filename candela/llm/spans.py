@@ -15,21 +15,24 @@ SPAN = "array<struct<kind:string,start:int,end:int,text:string,group:string,gap:
 
 
 def matches(text: Column, kind: str, pattern: str, group: int = 0, gap: int = 0, when: Column | None = None) -> Column:
-    """Array of (kind, start, end, text, group, gap); gap: as many characters of what lies before the match.
+    """Array of (kind, start, end, text, group, gap); gap: as many characters of what stands before the match, earlier matches among it.
 
     Empty for null texts, for texts without a match and where `when` is not true.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.transform(found, lambda _: F.lit(""))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    # The state's tail: the `gap` characters before the place it has come to.
+    tail = [F.lit("").alias("tail")] if gap else []
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"), *tail)
 
     def step(state: Column, m: Column) -> Column:
-        before = m["gap"]
-        lo = state["at"] + F.length(before)
+        lo = state["at"] + F.length(m["gap"])
         hi = lo + F.length(m["text"])
-        span = F.struct(F.lit(kind).alias("kind"), lo.alias("start"), hi.alias("end"), m["text"].alias("text"), m["group"].alias("group"), (F.right(before, F.lit(gap)) if gap else F.lit("")).alias("gap"))
-        return F.struct(hi.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        before = F.right(F.concat(state["tail"], m["gap"]), F.lit(gap)) if gap else F.lit("")
+        span = F.struct(F.lit(kind).alias("kind"), lo.alias("start"), hi.alias("end"), m["text"].alias("text"), m["group"].alias("group"), before.alias("gap"))
+        tail = [F.right(F.concat(state["tail"], m["gap"], m["text"]), F.lit(gap)).alias("tail")] if gap else []
+        return F.struct(hi.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"), *tail)
 
     # The last gap, after the last match, has no match of its own.
     zipped = F.arrays_zip(found.alias("text"), groups.alias("group"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))

@@ -161,6 +161,15 @@ def test_pii_extra_kinds_and_scores(spark):
     assert {r.doc_id: len(r.base) for r in pii.find_pii(long).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
 
 
+def test_pii_context_reaches_past_the_match_before(spark):
+    """As the query's SQL has it: the word stands in the 40 characters before the number."""
+    rows = [(1, "é SSN 123-45-6789, 987-65-4321"), (2, "ssn 123-45-6789, 987-65-4321" + " " * 24 + "111-22-3333"), (3, "ssn" + " " * 37 + "123-45-6789"), (4, "ssn" + " " * 38 + "123-45-6789"), (5, "a@b.cd mail " + "x@y.zz, " * 2)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("ssn", 6, 17), ("ssn", 19, 30)]
+    assert got[2] == [("ssn", 4, 15), ("ssn", 17, 28)] and got[3] == [("ssn", 40, 51)] and got[4] == []
+    assert got[5] == [("email", 0, 6), ("email", 12, 18), ("email", 20, 26)]
+
+
 def test_overlapping_spans_are_redacted_whole(spark):
     spans = "array(named_struct('kind', 'a', 'start', 2, 'end', 6), named_struct('kind', 'b', 'start', 4, 'end', 8), named_struct('kind', 'c', 'start', 9, 'end', 10))"
     got = spark.sql("SELECT '0123456789' t").select(S.redact(F.col("t"), F.expr(spans)).alias("x")).first().x
