@@ -54,6 +54,18 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 ]
 
+# What follows the first line of a private key: all up to its END line; where that is missing (no END line
+# before the next BEGIN), the header lines of the format and then the base64 lines. Line ends may be written
+# as \n, lines may be indented, quoted or joined; a run of 40 figures needs no line end.
+_GAP = r"""(?:[\s"'`>|,]|\\[nrt]?)*+"""
+_END_OF_LINE = r"""(?:(?<==)(?![A-Za-z0-9+/])|(?=[\x20\t,]*+(?:[\r\n"'`\\]|\z)))"""
+_FIGURES = r"(?:[A-Za-z0-9+/]|\\/)"
+KEY_BODY = (
+    r"\A(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END\x20[A-Z\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+    rf"|(?:{_GAP}[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_GAP}(?:{_FIGURES}{{40,}}+={{0,2}}|={{0,2}}{_FIGURES}++={{0,2}}{_END_OF_LINE}))*+)"
+)
+
+
 # --- Boolean trigram queries -------------------------------------------------
 # A query is True (all documents), a trigram, or ("and" | "or", frozenset of queries).
 
@@ -246,12 +258,22 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     )
 
 
+def with_body(text: Column):
+    """A span, for a private key up to the end of what the key's first line announces."""
+
+    def whole(s: Column) -> Column:
+        body = F.when(s["kind"] == "private_key", F.length(F.regexp_extract(F.substr(text, s["end"] + 1), KEY_BODY, 0))).otherwise(0)
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (s["end"] + body).alias("end"))
+
+    return whole
+
+
 def redact_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every secret replaced by its kind in brackets; a length column follows the text."""
+    """docs with every secret replaced by its kind in brackets, private keys with their bodies; a length column follows the text."""
     found = find_secrets(docs, rules, id_col, text_col, keep=True)
     clean, dirty = F.col("secret_clean"), F.size("secret_spans") > 0
     # Two steps: a select's own alias `text` must not be taken for the column.
-    found = found.withColumn("secret_clean", S.redact(F.col(f"`{text_col}`"), F.col("secret_spans")))
+    found = found.withColumn("secret_clean", S.redact(F.col(f"`{text_col}`"), F.transform("secret_spans", with_body(F.col(f"`{text_col}`")))))
 
     def column(name: str) -> Column:
         if name == text_col:
