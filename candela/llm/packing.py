@@ -21,7 +21,11 @@ knows the document's offset in its queue, and no document's ids are shuffled:
 
 A queue's order is that of the staged table.  At most `max_queues` queues are
 kept apart, those with the most tokens; the other sources share one queue, so the
-totals that the driver holds are bounded by that parameter.
+totals that the driver holds are bounded by that parameter.  Inside that queue they
+are dealt in proportion to their tokens, in rounds of what it sends in a window.
+The sources form groups, and groups of groups where there are many; each group is a
+queue of the next level.  A group's rounds are a closed form of its members' totals,
+which come to the tasks with the bases, so no place holds all sources' totals.
 
 Defined results: null and empty texts hold just the end id; a null source is the
 queue of the empty string; without a source column there is one queue; repeated
@@ -128,6 +132,11 @@ class Schedule:
             deficit = deficit - now.astype(object) * total
         return offsets + np.array(sent, np.int64), places
 
+    def rounds(self, queue: int) -> int:
+        """In how many windows the queue sends its tokens, at the lowest rate it has."""
+        total = self.totals[queue]
+        return max(1, min(total, 2**31 - 1, max((-(-total * whole // (self.window * rates[queue])) for _, _, rates, whole in self.phases if rates[queue]), default=1)))
+
     def runs(self, queue: int, offset: int, length: int) -> Iterator[tuple[int, int]]:
         """(place in the stream, tokens) of the runs that send the queue's tokens from offset on."""
         end, span = offset + length, self.span_of(queue, offset) if length else 0
@@ -144,6 +153,57 @@ class Schedule:
             span += 1
 
 
+class Rounds:
+    """What each member of a group has sent: by the end of round r, r / rounds of its tokens, rounded down."""
+
+    def __init__(self, totals: np.ndarray, rounds: int):
+        self.totals, self.rounds = totals, rounds
+        # Split, so that no product exceeds a long.
+        self.whole, self.part = np.divmod(totals, rounds)
+        self._round = lru_cache(32)(self._round)
+
+    def _sent(self, r: int) -> np.ndarray:
+        return self.whole * r + self.part * r // self.rounds
+
+    def _round(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sent by each member before the round, by its end, where its run stands in the group's stream)."""
+        now, then = self._sent(r), self._sent(r + 1)
+        order = np.roll(np.arange(len(now)), -(r % len(now)))
+        give, places = (then - now)[order], np.empty_like(now)
+        places[order] = int(now.sum()) + np.cumsum(give) - give
+        return now, then, places
+
+    def runs(self, member: int, offset: int, length: int) -> Iterator[tuple[int, int]]:
+        """(place in the group's stream, tokens) of the runs that send the member's tokens from offset on."""
+        end, total = offset + length, int(self.totals[member])
+        while offset < end:
+            now, then, places = self._round(-(-(offset + 1) * self.rounds // total) - 1)
+            n = min(end, int(then[member])) - offset
+            yield int(places[member]) + offset - int(now[member]), n
+            offset += n
+
+
+def rest_paths(rest: DataFrame, sources: int, group: int) -> DataFrame:
+    """queue and its path: from its own group up to the rest queue, (node, totals of the node's members, the member's place there).
+
+    rest: queue, n. A group has about `group` members; a group of groups as many at most.
+    """
+    group = max(2, group)
+    buckets = -(-sources // group)
+    level = rest.select("queue", "n", F.col("queue").alias("member"), F.pmod(F.xxhash64("queue"), F.lit(buckets)).alias("node"))
+    paths, steps = level.select("queue", F.col("node").alias("node0")), 0
+    while True:
+        groups = stage(level.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("member", "n"))).alias("members")), "packing-groups")
+        totals = F.transform("members", lambda m: m["n"]).alias("totals")
+        places = groups.select("node", totals, F.posexplode("members").alias("place", "m")).select(F.col("m.member").alias("member"), F.struct("node", "totals", "place").alias(f"step{steps}"))
+        paths = paths.join(places.withColumnRenamed("member", "queue" if not steps else f"node{steps - 1}"), "queue" if not steps else f"node{steps - 1}")
+        if buckets == 1:
+            return paths.select("queue", F.array(*(f"step{k}" for k in range(steps + 1))).alias("path"))
+        buckets, steps = -(-buckets // group), steps + 1
+        level = groups.select(F.col("node").alias("member"), F.aggregate(F.col("members"), F.lit(0).cast("long"), lambda a, m: a + m["n"]).alias("n"), F.floor(F.col("node") / group).alias("node"))
+        paths = paths.withColumn(f"node{steps}", F.floor(F.col(f"node{steps - 1}") / group))
+
+
 def encode_queues(docs: DataFrame, spec: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
     """Stage doc_id, queue, task, offset inside (task, queue), tokens and ids of every document."""
     ensure_importable(docs.sparkSession)
@@ -170,10 +230,10 @@ def encode_queues(docs: DataFrame, spec: str, end_id: int, id_col: str = "doc_id
     return stage(rows.mapInArrow(run, "doc_id long, queue string, task int, within long, n long, ids binary"), "packing-ids")
 
 
-def pack(docs: DataFrame, spec: str, end_id: int = 0, sequence: int = 1024, targets: dict[str, float] | None = None, window: int = 65_536, span_windows: int = 256, max_queues: int = 256, with_ids: bool = False, **columns) -> DataFrame:
+def pack(docs: DataFrame, spec: str, end_id: int = 0, sequence: int = 1024, targets: dict[str, float] | None = None, window: int = 65_536, span_windows: int = 256, max_queues: int = 256, with_ids: bool = False, group: int = 128, **columns) -> DataFrame:
     """One row per piece. targets: share of each source; None: each source's share of the corpus' tokens.
 
-    Sources that `targets` doesn't name form one queue of weight `targets.get("", 0)`.
+    Sources that `targets` doesn't name form one queue of weight `targets.get("", 0)`. group: members that share a group inside that queue.
     """
     spark = docs.sparkSession
     spec_width = 2 if _vocabulary(spec) <= 1 << 16 else 4
@@ -187,28 +247,48 @@ def pack(docs: DataFrame, spec: str, end_id: int = 0, sequence: int = 1024, targ
     else:
         kept = {r.queue: r.n for r in totals.orderBy(F.desc("n"), "queue").limit(max_queues).collect()}
         weights = None
-    whole = totals.agg(F.sum("n").alias("n")).first().n or 0
+    sizes = totals.agg(F.sum("n").alias("n"), F.count("*").alias("sources")).first()
+    whole, others = sizes.n or 0, sizes.sources - len(kept)
     names = sorted(kept)
     queue_totals = [*(kept[q] for q in names), whole - sum(kept.values())]
     names.append(REST)
     number = {q: k for k, q in enumerate(names)}
     schedule_args = (queue_totals, [weights[q] for q in names] if weights else None, window, span_windows)
 
-    mapped = F.when(F.col("queue").isin(names[:-1]), F.col("queue")).otherwise(F.lit(REST))
-    order = Window.partitionBy("own").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stage(sums.withColumn("own", mapped).select("queue", "task", "own", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "packing-bases")
+    order = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    based = sums.select("queue", "task", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    if others:
+        paths = stage(rest_paths(totals.filter(~F.col("queue").isin(names[:-1])), others, group), "packing-paths")
+        based = based.join(paths, "queue", "left")
+    else:
+        based = based.withColumn("path", F.lit(None).cast("array<struct<node:bigint,totals:array<bigint>,place:int>>"))
+    bases = stage(based, "packing-bases")
     # No hint: Spark broadcasts the staged table only while its files are below the threshold.
-    placed = rows.join(bases, ["queue", "task"]).select("doc_id", "queue", "own", (F.col("base") + F.col("within")).alias("at"), "n", "ids")
+    placed = rows.join(bases, ["queue", "task"]).select("doc_id", "queue", "path", (F.col("base") + F.col("within")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(*schedule_args)
+        schedule, groups = Schedule(*schedule_args), {}
+        rounds = schedule.rounds(len(names) - 1)
+
+        def steps(path: pa.StructArray) -> Iterator[tuple[Rounds, int]]:
+            for level, (node, place) in enumerate(zip(path.field("node").to_pylist(), path.field("place").to_pylist())):
+                if (level, node) not in groups:
+                    if len(groups) >= 256:
+                        groups.clear()
+                    groups[level, node] = Rounds(path.field("totals")[level].values.to_numpy(zero_copy_only=False).copy(), rounds)
+                yield groups[level, node], place
+
         for batch in batches:
-            keys, queues, owns, ats, sizes = (batch.column(k).to_pylist() for k in range(5))
-            raw, out = batch.column(5), [[] for _ in range(9)]
-            for i, (key, queue, own, at, n) in enumerate(zip(keys, queues, owns, ats, sizes)):
+            keys, queues, ats, sizes = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            paths, raw, out = batch.column(2), batch.column(5), [[] for _ in range(9)]
+            for i, (key, queue, at, n) in enumerate(zip(keys, queues, ats, sizes)):
+                runs = [(at, n)]
+                if paths[i].is_valid:
+                    for members, at_member in steps(paths[i].values):
+                        runs = [x for offset, length in runs for x in members.runs(at_member, offset, length)]
                 ids = memoryview(np.frombuffer(raw[i].as_buffer(), f"<u{spec_width}").astype("<u4").tobytes())
                 start = 0
-                for place, length in schedule.runs(number[own], at, n):
+                for place, length in (x for offset, m in runs for x in schedule.runs(number.get(queue, len(names) - 1), offset, m)):
                     while length:
                         m = min(length, sequence - place % sequence)
                         piece = ids[4 * start : 4 * (start + m)]

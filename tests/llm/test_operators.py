@@ -86,6 +86,27 @@ def test_packed_sequences_hold_the_ids(spark, table, docs):
     assert sum(len(r.ids) // 4 for r in out) == sum(len(a) + 1 for a in enc.arrays([t for _, t in docs]))
 
 
+@pytest.mark.parametrize("group,targets", [(128, None), (5, None), (4, {"s00": 0.5, "": 0.5})])
+def test_sources_beyond_the_queues_keep_their_proportion(spark, group, targets):
+    """60 sources, most of them in the shared queue: at each window's end each has sent its part, give or take two windows' worth."""
+    r, window = random.Random(10), 1200
+    docs = [(d, noise(r, 120) + "x y z", f"s{d % 60 if d % 3 else d % 20:02d}") for d in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    pieces = packing.pack(df, SPEC, sequence=100, window=window, span_windows=8, max_queues=6, group=group, targets=targets).collect()
+    B.check_op7([d[:2] for d in docs], [tuple(p)[:7] for p in pieces], UnitEncoder(SPEC).tokenizer, sequence=100)
+    of = np.full(sum(p.length for p in pieces), -1)
+    for p in pieces:
+        at = p.sequence_id * 100 + p.offset
+        assert (of[at : at + p.length] == -1).all()
+        of[at : at + p.length] = int(p.source[1:])
+    assert (of >= 0).all() and len(of) > 25 * window
+    mixed = of if targets is None else of[of > 0]  # the sources of the shared queue, among themselves
+    for q in set(mixed.tolist()):
+        part = np.cumsum(mixed == q)
+        share = part[-1] / len(mixed)
+        assert max(abs(part[v - 1] - v * share) for v in range(window, len(mixed), window)) <= 2 * window * share + 2 * 6, q
+
+
 def test_typed_parts(spark):
     parts = [{"type": "text", "text": "see <|image:0|>"}, {"type": "image", "ref": "i.png", "width": 56, "height": 29}, {"type": "audio", "ref": "a.wav", "seconds": 1.5}, {"type": "document", "ref": "d.pdf", "pages": 2}, {"type": "unknown"}]
     rows = [(1, 0, "user", "ignored", [tuple(p.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")) for p in parts]), (1, 1, "assistant", "plain", None)]
