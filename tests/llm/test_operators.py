@@ -255,6 +255,19 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == B.op5(docs)
 
 
+def test_near_duplicates_of_different_texts_with_one_id(spark):
+    """Each of an id's two texts has a near copy of its own; all four rows are one document's component."""
+    r = random.Random(11)
+    rows, want = [], {}
+    for k in range(0, 60, 3):
+        for copy in (1, 2):
+            words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+            rows += [(k, " ".join(words)), (k + copy, " ".join([*words[:-1], "other"]))]
+        want |= {k: k, k + 1: k, k + 2: k}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()} == want
+
+
 def test_exact_groups_survive_digest_collisions_and_batches(spark, table, docs):
     want = B.op10(docs)
     for options in ({"bits": 8}, {"files_per_batch": 1}, {"bits": 8, "files_per_batch": 1}):
