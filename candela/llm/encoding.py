@@ -161,3 +161,8 @@ def encoder(spec: str) -> UnitEncoder:
         _encoders.clear()
         _encoders[key] = UnitEncoder(spec)
     return _encoders[key]
+
+
+def forget_encoders() -> None:
+    """Free this worker's encoders and what they remember."""
+    _encoders.clear()

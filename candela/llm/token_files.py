@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ensure_importable, shuffle_parts, small_batches, stage, text_slices, work_path
-from .encoding import encoder
+from .encoding import encoder, forget_encoders
 
 MAGIC = b"CNDLTOK1"
 _HEAD = struct.Struct("<8sQQQQ")
@@ -89,7 +89,7 @@ def decode_block(stream) -> tuple[list, np.ndarray, np.ndarray] | None:
     return [None if z else d for d, z in zip(docs, null)], sizes, table[ranks].astype("<u4")
 
 
-def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out_dir: str | None = None, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out_dir: str | None = None, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode docs and write the shards; returns the manifest, one row per shard in id order."""
     spark = docs.sparkSession
     ensure_importable(spark)
@@ -144,6 +144,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        forget_encoders()  # the worker may have written shards before
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, name = fs.FileSystem.from_uri(path)
