@@ -1,25 +1,28 @@
 """Byte-level BPE encoding and decoding by ranked merges.
 
 The merges are folded by Spark's higher-order functions over the byte arrays of
-distinct words, with the rank table as a literal map.  The map is dealt into
-buckets by CRC-32 so that a lookup compares a few keys.  Decoding concatenates the
-ids' binary pieces.
+distinct words, with the rank table as a literal map.  Tokens are named by their
+ranks; the map leads from a pair of tokens to the rank of the two joined.  It is one
+array: each left token has a displacement, the right token is added to it, and the
+entry there tells its owner, so a lookup compares one number.  Decoding concatenates
+the ids' binary pieces, which come from a second literal, id to piece.
 
 A whole table goes through one pass without a shuffle:
 
 1. Words, the matches of the split pattern, are found per batch of documents; a
    batch is one row: its documents as arrays of word numbers and the words that
    this task has not seen before, as byte strings.
-2. The fold turns each new word's bytes into ids and the ids' pieces.
-3. The next step of the same task keeps the words' ids and pieces and concatenates
-   them per document.
+2. The fold turns each new word's bytes into ids; these ids are decoded.
+3. The next step of the same task keeps the words' ids and decoded bytes and
+   concatenates them per document.
 
 Both ends of step 2 run in one task over the same stream of rows, in order, so a
 word is folded once per task.  When a task has seen `keep` words, both ends drop
 what they know at the same row; memory stays bounded.
 
 Defined results: null and empty texts have no ids; repeated rows give repeated
-results; an empty table gives an empty table; extra columns are ignored.
+results; an empty table gives an empty table; extra columns are ignored.  A single
+byte without a rank, or an id without a piece, is an error.
 """
 
 from __future__ import annotations
@@ -27,16 +30,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, text_slices
-
-BUCKETS = 16_384
+from .common import ensure_importable, small_batches, text_slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,168 +46,303 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-# Bytes are written as the characters U+0000 to U+00FF, so that a byte string is a string of as many characters.
+# A neighbouring pair is one long: "joins to no token" (17 bits, 0 where it joins), rank of the two joined (17), place (12),
+# right token (17). The left token is the right one of the pair before. The smallest long is the pair to merge next: the
+# lowest rank, then the leftmost.
+_ID, _PLACE = 17, 12
+_RANK, _OWNER = _ID + _PLACE, 2 * _ID + _PLACE
+_IDS, _PLACES = (1 << _ID) - 1, ((1 << _PLACE) - 1) << _ID
+_NONE = 1 << _OWNER  # pairs from here on make no token
+#: Bytes of a word that is folded in one array, and pairs in a block of a longer one.
+FLAT, BLOCK = 128, 256
+
 
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(displacement of each token, entries): entry [displacement of a + b] names a as its owner and the rank of a + b.
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:
-    """The rank table as a literal: an array of small maps."""
-    table: list[dict[str, int]] = [{} for _ in range(buckets)]
+    Rows of entries are laid where all their places are free, the fullest first.
+    The token `size` stands for a word's ends; it owns nothing.
+    """
+    size = max(ranks.values()) + 1
+    if size >= _IDS:
+        raise ValueError(f"ranks must be below {_IDS - 1}")
+    if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"bytes without a rank: {missing}")
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        table[zlib.crc32(key.encode()) % buckets][key] = rank
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    rng, room = np.random.default_rng(0), 64 + 4 * sum(map(len, rows.values()))
+    free = np.ones(room + size + 1, bool)
+    at, entries = np.zeros(size + 1, np.int64), np.full(len(free), _IDS << _OWNER, np.int64)
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        right, joined = np.array(row).T
+        while not (fits := free[(tries := rng.integers(0, room, 32))[:, None] + right].all(1)).any():
+            pass
+        at[a] = tries[fits.argmax()]
+        free[at[a] + right] = False
+        entries[at[a] + right] = a << _OWNER | joined << _RANK
+    return at, entries
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: struct of at, entries, bytes (each byte's rank) and end (the token of a word's ends)."""
+    at, entries = pair_table(ranks)
+    whole = {"at": at.tolist(), "entries": entries.tolist(), "bytes": [ranks[bytes([b])] for b in range(256)], "end": len(at) - 1}
+    return F.from_json(F.lit(json.dumps(whole)), "struct<at:array<int>,entries:array<bigint>,bytes:array<int>,end:int>")
+
+
+def piece_literal(ranks: dict[bytes, int]) -> Column:
+    """Piece of each id, in hexadecimal figures."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    return F.split(F.lit(",".join(pieces)), ",")
 
 
-def rank_of(table: Column, piece: Column, buckets: int = BUCKETS) -> Column:
-    """The piece's rank, or null."""
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(F.encode(piece, "UTF-8")), F.lit(buckets)).cast("int")), piece)
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-_NONE = 2**31 - 1
+def _right(pair: Column) -> Column:
+    return pair.bitwiseAND(_IDS)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def _pair(table: Column, a: Column, b: Column, rest: Column) -> Column:
+    """a, b: tokens as ints; rest: the place and b in their bits."""
+    # The owner's bits become 0 if the entry is a's own.
+    entry = F.get(table["entries"], F.get(table["at"], a) + b)
+    return entry.bitwiseXOR(F.shiftleft(a.cast("long"), _OWNER)).bitwiseOR(rest)
+
+
+def _merge(table: Column, pairs: Column, best: Column) -> Column:
+    """The pairs once the pair `best`, which joins, has become one token."""
+
+    def at(k: Column) -> Column:
+        """k: its position, from 1; there are two pairs before and one after."""
+        joined, before, after = F.shiftright(best, _RANK).cast("int"), F.get(pairs, k - 2), F.get(pairs, k)
+        left = _pair(table, _right(F.get(pairs, k - 3)).cast("int"), joined, before.bitwiseAND(_PLACES).bitwiseOR(joined.cast("long")))
+        right = _pair(table, joined, _right(after).cast("int"), best.bitwiseAND(_PLACES).bitwiseOR(_right(after)))
+        return F.concat(F.slice(pairs, F.lit(1), k - 2), F.array(left, right), F.slice(pairs, k + 2, F.size(pairs)))
+
+    return _let(F.array_position(pairs, best).cast("int"), at)
+
+
+def _first_pairs(table: Column, word: Column) -> Column:
+    """All neighbours of a byte string (characters U+0000 to U+00FF) between its two ends; before them one that holds the first end."""
+    tokens = F.concat(F.array(table["end"]), F.transform(F.split(word, ""), lambda c: F.get(table["bytes"], F.ascii(c))), F.array(table["end"]))
+
+    def pairs(ids: Column) -> Column:
+        def pair(b: Column, i: Column) -> Column:
+            rest = F.shiftleft((i % (1 << _PLACE)).cast("long"), _ID).bitwiseOR(b.cast("long"))
+            return F.when(i == 0, rest.bitwiseOR(F.lit(_NONE))).otherwise(_let(F.get(ids, i - 1), lambda a: _pair(table, a, b, rest)))
+
+        return F.transform(ids, pair)
+
+    return _let(tokens, pairs)
+
+
+def _tokens(pairs: Column, end: Column) -> Column:
+    """array<int>: the pairs' right tokens but for the ends."""
+    return F.transform(F.filter(pairs, lambda e: _right(e) < end), lambda e: _right(e).cast("int"))
+
+
+def _fold_flat(table: Column, word: Column) -> Column:
+    """State: the array of pairs. A step merges the smallest."""
+
+    def step(pairs: Column, _: Column) -> Column:
+        return _let(F.array_min(pairs), lambda best: F.when(best < F.lit(_NONE), _merge(table, pairs, best)).otherwise(pairs))
 
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _first_pairs(table, word), step, lambda pairs: _tokens(pairs, table["end"]))
 
-def fold(word: Column, table: Column) -> Column:
-    """array<string>: the pieces of a word (a byte string) when no ranked merge is left.
 
-    State: the pieces and the rank of each neighbouring pair. A step merges the
-    lowest-ranked pair, the first of equals, and looks two new pairs up.
+def _fold_blocks(table: Column, word: Column, size: int) -> Column:
+    """The same over a long word, whose pairs are held in blocks: a step looks at the blocks' lowest ranks and rewrites three blocks.
+
+    Each block but the last has two pairs or more, so what a merge touches is in the block, the one before and the one after it.
     """
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.coalesce(rank_of(table, F.concat(a, b)), F.lit(_NONE))
-
-    none = F.array().cast("array<int>")
-
-    def merge(pieces: Column, pairs: Column, k: Column) -> Column:
-        """k, 1-based: pieces k and k + 1 become one."""
-        return _let(
-            F.concat(F.get(pieces, k - 1), F.get(pieces, k)),
-            lambda merged: F.struct(
-                F.concat(F.slice(pieces, F.lit(1), k - 1), F.array(merged), F.slice(pieces, k + 2, F.size(pieces))).alias("pieces"),
-                F.concat(
-                    F.slice(pairs, F.lit(1), F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(pair(F.get(pieces, k - 2), merged))).otherwise(none),
-                    F.when(k < F.size(pairs), F.array(pair(merged, F.get(pieces, k + 1)))).otherwise(none),
-                    F.slice(pairs, k + 2, F.size(pairs)),
-                ).alias("pairs"),
-            ),
-        )
+    def low(block: Column) -> Column:
+        return F.shiftright(F.array_min(block), _RANK)
+
+    def dealt(pairs: Column) -> Column:
+        """Even blocks of `size` pairs at most, places anew."""
+        n = F.size(pairs)
+        count = F.ceil(n / size).cast("int")
+        begin = lambda c: F.floor(c * n / count).cast("int")
+        block = lambda c: F.slice(pairs, begin(c) + 1, begin(c + 1) - begin(c))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.transform(block(c), lambda e, i: e.bitwiseAND(~_PLACES).bitwiseOR(F.shiftleft(i.cast("long"), _ID))))
+
+    def rewrite(state: Column, b: Column) -> Column:
+        """b: number of the leftmost block with the lowest rank, from 1."""
+        blocks = state["blocks"]
+        first = F.greatest(b - 1, F.lit(1))
+        count = F.least(b + 1, F.size(blocks)) - first + 1
+        local = F.flatten(F.slice(blocks, first, count))
+        # Blocks before it have higher ranks only, so the first pair that equals its smallest is its own.
+        merged = _let(local, lambda pairs: _let(F.array_min(F.get(blocks, b - 1)), lambda best: _merge(table, pairs, best)))
+
+        def spliced(old: Column, new: Column) -> Column:
+            return F.concat(F.slice(old, F.lit(1), first - 1), new, F.slice(old, first + count, F.size(old)))
+
+        return _let(_let(merged, dealt), lambda new: F.struct(spliced(blocks, new).alias("blocks"), spliced(state["lows"], F.transform(new, low)).alias("lows")))
 
     def step(state: Column, _: Column) -> Column:
-        pieces, pairs = state["pieces"], state["pairs"]
-        best = F.array_min(pairs)
-        # Without a merge to make, k is null and the state stays.
-        k = F.when(best < _NONE, F.array_position(pairs, best)).cast("int")
-        return _let(k, lambda at: F.when(at.isNull(), state).otherwise(merge(pieces, pairs, at)))
+        found = F.array_min(state["lows"])
+        at = F.when(found < F.lit(1 << _ID), F.array_position(state["lows"], found)).cast("int")
+        return _let(at, lambda b: F.when(b.isNull(), state).otherwise(rewrite(state, b)))
+
+    start = _let(_let(_first_pairs(table, word), dealt), lambda blocks: F.struct(blocks.alias("blocks"), F.transform(blocks, low).alias("lows")))
+    return F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda s: _tokens(F.flatten(s["blocks"]), table["end"]))
+
 
-    def whole(chars: Column) -> Column:
-        n = F.size(chars)
-        state = F.struct(chars.alias("pieces"), F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n), pair).alias("pairs"))
-        return F.aggregate(F.sequence(F.lit(2), n), state, step, lambda s: s["pieces"])
+def fold(word: Column, table: Column, flat: int = FLAT, block: int = BLOCK) -> Column:
+    """array<int>: the ids of a word (a byte string) when no ranked merge is left."""
 
-    single = (F.length(word) < 2) | rank_of(table, word).isNotNull()
-    return F.when(single, F.array(word)).otherwise(_let(F.split(word, ""), whole))
+    def ids(t: Column) -> Column:
+        single = F.array(F.get(t["bytes"], F.ascii(word)))
+        return F.when(F.length(word) < 2, single).when(F.length(word) <= flat, _fold_flat(t, word)).otherwise(_fold_blocks(t, word, block))
+
+    return _let(table, ids)
 
 
 def with_ids(words: DataFrame, ranks: dict[bytes, int], column: str) -> DataFrame:
-    """words: a column of arrays of byte strings; it becomes arrays of (ids, comma-joined; bytes: the ids' pieces, concatenated)."""
+    """words: a column of arrays of byte strings; it becomes arrays of (ids: comma-joined figures; bytes: the ids decoded)."""
     table = rank_literal(ranks)
-    encoded = F.transform(F.col(column), lambda w: fold(w, table))
-    joined = F.transform(encoded, lambda pieces: F.struct(F.array_join(F.transform(pieces, lambda p: rank_of(table, p).cast("string")), ",").alias("ids"), F.array_join(pieces, "").alias("bytes")))
-    return words.withColumn(column, joined)
+    decoder = piece_literal(ranks)
+    encoded = F.transform(F.col(column), lambda w: _let(fold(w, table), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), decode(ids, decoder).alias("bytes"))))
+    return words.withColumn(column, encoded)
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """binary: the ids' pieces, concatenated; null for an unknown id."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+def decode(ids: Column, pieces: Column) -> Column:
+    """binary: the ids' pieces, concatenated; null if an id is unknown. pieces: see piece_literal."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "", "?"))
 
 
-def _splitter(pattern: str):
-    import regex
+class _Numbers(dict):
+    """Word -> number, in order of appearance; `fresh` lists the words that are new."""
 
-    return regex.compile(pattern)
+    def __init__(self):
+        self.fresh: list[str] = []
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 250_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>), bytes (the decoded ids); digests_only: their SHA-256 in place of the last two."""
-    ensure_importable(docs.sparkSession)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Splitter:
+    """Texts as word numbers (bytes of u32). The words of each space-led unit are remembered: the pattern never matches across a space before a word."""
+
+    def __init__(self, pattern: str):
         import re
+
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.irregular = re.compile(r" (?=\s|\Z)").search
+        self.clear()
+
+    def clear(self) -> None:
+        self.units: dict[str, bytes] = {}
+        self.known = _Numbers()
+
+    def numbers(self, words: list[str]) -> bytes:
         from array import array
 
-        find = _splitter(pattern).findall
-        irregular = re.compile(r" (?=\s|\Z)")
-        # Word numbers of each space-led unit: the pattern never matches across a space before a word.
-        units: dict[str, bytes] = {}
-        known: dict[str, int] = {}
-        for batch in batches:
+        return array("I", map(self.known.__getitem__, words)).tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        """The words of new units, found in one text of them all; each unit's first word starts with its space."""
+        words = self.find(" " + " ".join(new)) if new else []
+        begins = [i for i, w in enumerate(words) if w[0] == " "]
+        if len(begins) != len(new):
+            for u in new:
+                self.units[u] = self.numbers(self.find(" " + u))
+            return
+        raw, begins = self.numbers(words), [*begins, len(words)]
+        self.units.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(new, begins, begins[1:]))
+
+    def split(self, texts: list) -> tuple[list[bytes], list[str]]:
+        """(word numbers of each text, the words that are new, as byte strings)."""
+        bodies = [None if not t or self.irregular(t) else t.split(" ") for t in texts]
+        seen: set[str] = set()
+        for b in bodies:
+            if b:
+                seen.update(b[1:])
+        self.learn(list(seen.difference(self.units)))
+        out = []
+        for text, body in zip(texts, bodies):
+            if not text:
+                out.append(b"")
+            elif body is None:
+                out.append(self.numbers(self.find(text)))
+            else:
+                first = self.numbers(self.find(body[0]))
+                out.append(first + b"".join(map(self.units.__getitem__, body[1:])))
+        fresh, self.known.fresh = self.known.fresh, []
+        for u in [u for u in seen if len(u) > 64]:
+            del self.units[u]
+        return out, [w.encode().decode("latin-1") for w in fresh]
+
+
+def _strings(column) -> list[bytes]:
+    """An Arrow column of strings or binaries as bytes objects, straight from its buffers."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 400_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>), bytes (the decoded ids); digests_only: their SHA-256 in place of the last two."""
+    ensure_importable(docs.sparkSession)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(pattern)
+        for batch in small_batches(batches, 1024):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_slices(texts, 1_000_000):
-                drop = len(known) > keep or len(units) > keep
+                drop = len(splitter.known) > keep or len(splitter.units) > 2 * keep
                 if drop:
-                    units.clear(), known.clear()
-                first = len(known)
-
-                def numbers(words: list[str]) -> bytes:
-                    return array("I", [known.setdefault(w, len(known)) for w in words]).tobytes()
-
-                out = []
-                for text in texts[lo:hi]:
-                    if not text:
-                        out.append(b"")
-                    elif irregular.search(text):
-                        out.append(numbers(find(text)))
-                    else:
-                        head, *body = text.split(" ")
-                        for u in set(body).difference(units):
-                            units[u] = numbers(find(" " + u))
-                        out.append(numbers(find(head)) + b"".join(map(units.__getitem__, body)))
-                new = [w.encode().decode("latin-1") for w in list(known)[first:]] if len(known) > first else []
-                for u in [u for u in units if len(u) > 64] if len(units) < 4 * keep else []:
-                    del units[u]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.binary())), pa.array([new], pa.list_(pa.string())), pa.array([drop])], names=["doc_ids", "numbers", "words", "drop"])
+                    splitter.clear()
+                numbers, words = splitter.split(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string())), pa.array([drop])], names=["doc_ids", "numbers", "words", "drop"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        ids_of: list = []
+        ids_of: list[bytes] = []
         bytes_of: list[bytes] = []
+        counts = np.zeros(0, np.int32)
         for batch in batches:
             for r in range(batch.num_rows):
                 if batch.column(3)[r].as_py():
                     ids_of.clear(), bytes_of.clear()
+                    counts = counts[:0]
                 new = batch.column(2)[r].values  # flat: the fields' values without a Python object per struct
-                texts = new.field("ids").to_pylist()
-                if digests_only:
-                    ids_of.extend((x.count(",") + 1, x.encode()) for x in texts)
-                else:
-                    ids_of.extend((len(i), i) for i in (list(map(int, x.split(","))) for x in texts))
-                bytes_of.extend(x.encode("latin-1") for x in new.field("bytes").to_pylist())
-                keys, docs_ = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                counts, ids_out, bytes_out = [], [], []
-                for raw in docs_:
-                    numbers = np.frombuffer(raw, "<u4").tolist()
-                    parts = [ids_of[k] for k in numbers]
-                    whole = b"".join([bytes_of[k] for k in numbers])
-                    counts.append(sum(n for n, _ in parts))
+                if new.field("bytes").null_count:
+                    raise ValueError("an id without a piece")
+                fresh = _strings(new.field("ids"))
+                ids_of.extend(fresh)
+                bytes_of.extend(_strings(new.field("bytes")))
+                counts = np.concatenate((counts, np.fromiter((x.count(b",") + 1 for x in fresh), np.int32, len(fresh))))
+                keys, numbers = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                totals, ids_out, bytes_out = [], [], []
+                for raw in numbers:
+                    at = np.frombuffer(raw, "<u4")
+                    totals.append(int(counts[at].sum()))
+                    at = at.tolist()
+                    ids, whole = b",".join(map(ids_of.__getitem__, at)), b"".join(map(bytes_of.__getitem__, at))
                     if digests_only:
-                        ids_out.append(hashlib.sha256(b",".join([x for _, x in parts])).hexdigest())
+                        ids_out.append(hashlib.sha256(ids).hexdigest())
                         bytes_out.append(hashlib.sha256(whole).hexdigest())
                     else:
-                        ids_out.append([i for _, x in parts for i in x])
+                        ids_out.append(list(map(int, ids.split(b","))) if ids else [])
                         bytes_out.append(whole)
                 kinds = (pa.string(), pa.string()) if digests_only else (pa.list_(pa.int32()), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_out, kinds[0]), pa.array(bytes_out, kinds[1])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids_out, kinds[0]), pa.array(bytes_out, kinds[1])], names=names)
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests_only else ("ids", "bytes"))]
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")

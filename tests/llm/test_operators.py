@@ -221,13 +221,39 @@ def test_overlapping_spans_are_redacted_whole(spark):
     assert got == "01<a>8<c>"
 
 
-def test_bpe_decodes_and_resets(spark, table, docs):
+def test_bpe_decodes_and_resets(spark, table, docs, monkeypatch):
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     few = table.filter("doc_id < 60")
-    got = bpe.encode_documents(few, ranks, P.PATTERN, keep=5)
     texts = dict(docs)
-    for r in got.withColumn("again", bpe.decode(F.col("ids"), ranks)).collect():
+    for r in bpe.encode_documents(few, ranks, P.PATTERN, keep=5).withColumn("again", bpe.decode(F.col("ids"), bpe.piece_literal(ranks))).collect():
         assert r.bytes.decode() == (texts[r.doc_id] or "") and bytes(r.again) == bytes(r.bytes) and r.n_tokens == len(r.ids)
+    # What comes out is decoded from the ids: with the pieces of two ids exchanged it is another text.
+    right, a, b = bpe.piece_literal, ranks[b" e"], ranks[b" a"]
+    monkeypatch.setattr(bpe, "piece_literal", lambda r: right(r | {b" e": b, b" a": a}))
+    row = bpe.encode_documents(spark.createDataFrame([(1, "q e a")], "doc_id long, text string"), ranks, P.PATTERN).first()
+    assert bytes(row.bytes) != b"q e a" and len(row.ids) == row.n_tokens
+
+
+@pytest.mark.parametrize("flat,block", [(128, 256), (1, 4), (3, 16)])
+def test_bpe_folds_flat_and_in_blocks(spark, flat, block):
+    import tiktoken
+
+    r, ranks = random.Random(11), bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(r.choice("abeinrst éü日本") for _ in range(r.randint(1, 50))) for _ in range(150)] + ["a" * n for n in range(1, 60)] + ["ab" * 30, "q" * 400, "\x00\xff"]
+    df = spark.createDataFrame([(w.encode().decode("latin-1"),) for w in words], "w string")
+    for row in df.select("w", bpe.fold(F.col("w"), bpe.rank_literal(ranks), flat, block).alias("ids")).collect():
+        assert row.ids == library._encode_single_piece(row.w.encode("latin-1")), row.w
+
+
+def test_bpe_of_a_long_word(spark):
+    import tiktoken
+
+    r, ranks = random.Random(12), bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    text = "x " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    row = bpe.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), ranks, P.PATTERN).first()
+    assert bytes(row.bytes).decode() == text
+    assert row.ids == tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
 
 
 def test_components_of_a_path_and_a_star(spark):
