@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -27,11 +28,14 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local session that names none (tests) gets a temporary folder; on a cluster
+    that is an error, as each node would write to a disk of its own.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="candela-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         sc.setCheckpointDir(base)
@@ -55,6 +59,20 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bit(bits: Column, position: Column) -> Column:
+    """Whether a bitmap has the bit (position: 0-based, long)."""
+    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
+
+
 def small_batches(batches, rows: int = 256):
     """Arrow batches in slices of few rows, so that only a slice's values become Python objects at a time."""
     for batch in batches:

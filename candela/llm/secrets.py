@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import stage
+from .common import bit, fresh_name, stage
 
 
 @dataclass(frozen=True)
@@ -202,12 +202,6 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return stage(united.groupBy("block").agg(by_kind.alias("bits")), "secret-candidates")
 
 
-def _bit(bits: Column, position: Column) -> Column:
-    """Whether the bitmap has the bit (position: 0-based, long)."""
-    byte = F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
 def _long_enough(rule: Rule):
     return lambda s: F.length(s["group"] if rule.group else s["text"]) >= rule.least
 
@@ -238,7 +232,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     for rule in rules:
         gate = None
         if rule.kind in queries:
-            gate = F.col("block").isNull() | _bit(F.col("bits")[rule.kind], position)
+            gate = F.col("block").isNull() | bit(F.col("bits")[rule.kind], position)
         spans = S.matches(text, rule.kind, rule.pattern, rule.group, when=gate)
         if rule.least:
             spans = F.filter(spans, _long_enough(rule))

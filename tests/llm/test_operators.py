@@ -296,13 +296,26 @@ def test_near_duplicates_of_different_texts_with_one_id(spark):
 
 def test_exact_groups_survive_digest_collisions_and_batches(spark, table, docs):
     want = B.op10(docs)
-    for options in ({"bits": 8}, {"files_per_batch": 1}, {"bits": 8, "files_per_batch": 1}):
+    for options in ({"bits": 8}, {"batches": 1}, {"bits": 8, "batches": 3}):
         got = {r.doc_id: (r.keep.doc_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(table, **options).collect()}
         assert got == {d: v[:3] for d, v in want.items()}
     kept = exact_dedup.deduplicate(table)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {d for d, v in want.items() if v[2]}
 
 
+@pytest.mark.parametrize("bits", [256, 8])
+def test_exact_state_lasts_over_calls(spark, tmp_path, docs, bits):
+    """Three calls over parts of the rows: each row's group is that of all rows so far."""
+    state, seen = f"file://{tmp_path}/state", []
+    for k in range(3):
+        part = [(d, t) for d, t in docs if (d * 7 + d // 5) % 3 == k] + ([(1000 + k, "one two  three four")] if k else [])
+        seen += part
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(2)
+        want = {d: v[:3] for d, v in B.op10(seen).items() if d in dict(part)}
+        assert {r.doc_id: (r.keep.doc_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df, bits=bits, state_dir=state).collect()} == want
+    assert want[1002][1] >= 3
+
+
 def test_quality_separates_junk(spark):
     r = random.Random(8)
     good = lambda: " ".join(r.choice("the sun rises over a quiet town and people walk to work in the morning light".split()) for _ in range(120))
