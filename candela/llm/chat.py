@@ -3,7 +3,9 @@
 A message's content is a text or an array of typed parts.  A visitor flattens the
 parts into one string: texts are escaped, an image, audio or document part becomes
 an ordered placeholder, and the visitor records the part's attachment reference and
-how many tokens the placeholder expands to.
+how many tokens the placeholder expands to.  Placeholders are numbered through the
+conversation and their attachments go along with it, so the parts can be read back;
+a text that looks like a placeholder is escaped and stays a text.
 
 The template marks turns with control strings.  A control string (or the escape
 character) inside a text gets the escape character in front, which makes the
@@ -24,6 +26,7 @@ empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -32,10 +35,10 @@ from math import ceil
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, shuffle_parts
+from .common import ensure_importable, shuffle_parts, stage
 
 #: Control strings of the template and of its placeholders; also those of related templates, so that none passes unescaped.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|"]
@@ -53,8 +56,9 @@ def unescape(text: str) -> str:
 
 @dataclass
 class PartVisitor:
-    """Flattens typed parts in order; one visitor per message."""
+    """Flattens typed parts in order; one visitor per message. first: the number of its first placeholder."""
 
+    first: int = 0
     image_patch: int = 28
     audio_tokens_per_second: float = 25.0
     document_page_tokens: int = 512
@@ -77,7 +81,7 @@ class PartVisitor:
         return self._place("document", part, max(1, part.get("pages") or 0) * self.document_page_tokens)
 
     def _place(self, kind: str, part: dict, tokens: int) -> str:
-        n = len(self.attachments)
+        n = self.first + len(self.attachments)
         self.attachments.append({"position": n, "type": kind, "ref": part.get("ref"), "tokens": tokens})
         return f"<|{kind}:{n}|>"
 
@@ -94,8 +98,14 @@ def format_turn(role: str | None, content: str) -> tuple[str, int, int]:
     return f"<s>[INST] {role}\n{content} [/INST]</s>\n", 0, 0
 
 
-def parse_turns(formatted: str) -> Iterator[tuple[str, str, int]]:
-    """(role, text, where the raw content starts) of each turn; raises if the string isn't whole turns."""
+def parse_turns(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn; raises if the string isn't whole turns. Placeholders stay in the text: see parse_parts."""
+    for role, raw in raw_turns(formatted):
+        yield role, unescape(raw)
+
+
+def raw_turns(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, raw content) of each turn."""
     at = 0
     while at < len(formatted):
         inst = formatted.startswith("<s>[INST] ", at)
@@ -105,7 +115,7 @@ def parse_turns(formatted: str) -> Iterator[tuple[str, str, int]]:
         head = _scan(formatted, lo, "\n")
         close = " [/INST]</s>\n" if inst else "</s>\n"
         end = _scan(formatted, head + 1, close)
-        yield unescape(formatted[lo:head]), unescape(formatted[head + 1 : end]), head + 1
+        yield unescape(formatted[lo:head]), formatted[head + 1 : end]
         at = end + len(close)
 
 
@@ -124,6 +134,38 @@ def _scan(text: str, at: int, mark: str) -> int:
         at = k + 2
 
 
+_MARK = re.compile(r"\\.|<\|(image|audio|document):(\d+)\|>", re.DOTALL)
+
+
+def parse_parts(raw: str) -> Iterator[tuple[str, str | int]]:
+    """("text", text) and (type, placeholder's number) of a turn's raw content; no empty texts."""
+    at = 0
+    for m in _MARK.finditer(raw):
+        if m[1]:
+            if m.start() > at:
+                yield "text", unescape(raw[at : m.start()])
+            yield m[1], int(m[2])
+            at = m.end()
+    if at < len(raw):
+        yield "text", unescape(raw[at:])
+
+
+def renumber(formatted: str, loss: list[dict], by: int) -> tuple[str, list[dict]]:
+    """Placeholders' numbers raised by `by`, and the loss spans where they stand then."""
+    out, at, shifts = [], 0, [(0, 0)]
+    for m in _MARK.finditer(formatted):
+        if m[1]:
+            out += [formatted[at : m.start(2)], str(int(m[2]) + by)]
+            at = m.end(2)
+            shifts.append((at, shifts[-1][1] + len(out[-1]) - len(m[2])))
+    places = [p for p, _ in shifts]
+
+    def moved(p: int) -> int:
+        return p + shifts[bisect.bisect_right(places, p) - 1][1]
+
+    return "".join(out) + formatted[at:], [{"start": moved(s["start"]), "end": moved(s["end"])} for s in loss]
+
+
 def format_turns(messages: DataFrame, text_col: str = "text", parts_col: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", visitor: type[PartVisitor] = PartVisitor) -> DataFrame:
     """One row per message: conv_id, turn, role, formatted, loss_start, loss_end, attachments, expanded_tokens.
 
@@ -154,35 +196,95 @@ TURN_NAMES = ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end",
 ATTACHMENT_ARROW = pa.list_(pa.struct([("position", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+CHUNK_NAMES = ["conv_id", "part", "seq", "formatted", "loss", "attachments", "expanded_tokens"]
+CHUNK = f"conv_id long, part int, seq long, formatted string, loss array<struct<start:long,end:long>>, attachments {ATTACHMENT}, expanded_tokens long"
+
+
 def join_turns(messages: DataFrame, chunk_chars: int = 1 << 16, **columns) -> DataFrame:
-    """conv_id, part, seq, formatted, loss (array of start, end): chunks of whole turns; (part, seq) is their order in the conversation."""
+    """conv_id, part, seq, formatted, loss (array of start, end), attachments, expanded_tokens: chunks of whole turns; (part, seq) is their order in the conversation."""
     conv, turn, role, text = (columns.get(k, d) for k, d in (("conv_col", "conv_id"), ("turn_col", "turn"), ("role_col", "role"), ("text_col", "text")))
     keys = [F.col(conv).cast("long"), F.col(turn).cast("long"), F.col(role).cast("string"), F.col(text).cast("string")]
-    ordered = messages.repartitionByRange(shuffle_parts(messages.sparkSession), *keys).sortWithinPartitions(*keys)
+    # The ranges' bounds go through the driver: short keys. Turns that share them all meet in one task and are sorted there.
+    ordered = messages.repartitionByRange(shuffle_parts(messages.sparkSession), *keys[:2], F.left(keys[2], F.lit(32))).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, conv_now, texts, loss, size = TaskContext.get().partitionId(), 0, None, [], [], 0
+        part, seq, conv_now, texts, loss, attached, size, placed, tokens = TaskContext.get().partitionId(), 0, None, [], [], [], 0, 0, 0
 
         def chunk():
-            return pa.RecordBatch.from_arrays([
-                pa.array([conv_now], pa.int64()), pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array(["".join(texts)]),
-                pa.array([[{"start": a, "end": b} for a, b in loss]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ], names=["conv_id", "part", "seq", "formatted", "loss"])
+            return _chunks([conv_now], [part], [seq], ["".join(texts)], [[{"start": a, "end": b} for a, b in loss]], [attached], [tokens])
 
         for batch in batches:
-            for c, f, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5))):
+            for c, f, a, b, found, expanded in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5, 6, 7))):
                 if texts and (c != conv_now or size >= chunk_chars):
                     yield chunk()
-                    seq, texts, loss, size = seq + 1, [], [], 0
-                conv_now = c
-                if b > a or f.startswith("<s>assistant\n"):
-                    loss.append((size + a, size + b))
+                    seq, texts, loss, attached, size, tokens = seq + 1, [], [], [], 0, 0
+                if c != conv_now:
+                    conv_now, placed = c, 0
+                span = [{"start": a, "end": b}] if b > a or f.startswith("<s>assistant\n") else []
+                if found and placed:
+                    f, span = renumber(f, span, placed)
+                    found = [x | {"position": x["position"] + placed} for x in found]
+                placed += len(found)
+                loss += [(size + x["start"], size + x["end"]) for x in span]
+                attached += found
+                tokens += expanded
                 texts.append(f)
                 size += len(f)
         if texts:
             yield chunk()
 
-    return format_turns(ordered, **columns).mapInArrow(run, "conv_id long, part int, seq long, formatted string, loss array<struct<start:long,end:long>>")
+    chunks = format_turns(ordered, **columns).mapInArrow(run, CHUNK)
+    if not columns.get("parts_col"):
+        return chunks
+    # A conversation that goes over several tasks was numbered anew in each: one small row for each of them tells by how much to raise.
+    chunks = stage(chunks, "chat-chunks")
+    sums = chunks.groupBy("conv_id", "part").agg(F.sum(F.size("attachments")).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = sums.select(F.col("conv_id").alias("conv"), F.col("part").alias("task"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("by")).filter("by > 0")
+    same = F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("task"))
+    moved = chunks.join(later, same, "left").select(*CHUNK_NAMES, F.coalesce("by", F.lit(0)).alias("by"))
+
+    def raise_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *rows, by = (batch.column(k).to_pylist() for k in range(8))
+            for i, n in enumerate(by):
+                if n:
+                    rows[3][i], rows[4][i] = renumber(rows[3][i], rows[4][i], n)
+                    rows[5][i] = [x | {"position": x["position"] + n} for x in rows[5][i]]
+            yield _chunks(*rows)
+
+    return moved.mapInArrow(raise_numbers, CHUNK)
+
+
+def _chunks(*columns: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), SPANS, ATTACHMENT_ARROW, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=CHUNK_NAMES)
+
+
+TURN_PARTS = "conv_id long, part int, seq long, number long, role string, parts array<struct<type:string,text:string,position:int,ref:string,tokens:int>>"
+
+
+def read_turns(chunks: DataFrame) -> DataFrame:
+    """One row per turn, read back from the chunks: conv_id, its place (part, seq, number in the chunk), role and typed parts.
+
+    Neighbouring text parts come back as one, empty ones not at all; a placeholder brings its attachment's reference and tokens.
+    """
+    ensure_importable(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("position", pa.int32()), ("ref", pa.string()), ("tokens", pa.int32())]))
+        for batch in batches:
+            for conv, part, seq, text, attached in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                of = {a["position"]: a for a in attached}
+                found = [(role, [{"type": t, "text": x} if t == "text" else {"type": t} | {k: of[x][k] for k in ("position", "ref", "tokens")} for t, x in parse_parts(raw)]) for role, raw in raw_turns(text)]
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([conv] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int64()), pa.array(range(n), pa.int64()),
+                    pa.array([r for r, _ in found], pa.string()), pa.array([p for _, p in found], kind),
+                ], names=["conv_id", "part", "seq", "number", "role", "parts"])
+
+    return chunks.select("conv_id", "part", "seq", "formatted", "attachments").mapInArrow(run, TURN_PARTS)
 
 
 def read_back(chunks: DataFrame) -> DataFrame:
@@ -202,7 +304,7 @@ def read_back(chunks: DataFrame) -> DataFrame:
                     yield row()
                 if not open_ or conv != now:
                     now, open_, turns, chars, lost, all_, mask = conv, True, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                for role, content, _ in parse_turns(text):
+                for role, content in parse_turns(text):
                     all_.update(f"{role}\n{content}\n".encode())
                     turns += 1
                 for s in spans:
