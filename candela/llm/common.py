@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with the locator of each row; tables that aren't Parquet files are written to the shared folder first."""
+
+    def plain(table: DataFrame) -> DataFrame:
+        hidden = table.metadataColumn("_metadata")
+        return table.select("*", hidden["file_path"].alias(file), hidden["row_index"].alias(row))
+
+    try:
+        return plain(docs)
+    except AnalysisException:
+        return plain(stage(docs, "documents"))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -32,11 +32,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit, fresh_name, shuffle_parts, stage, work_path
+from .common import bit, fresh_name, located, shuffle_parts, stage, work_path
 
 SPACE = r"[\x20\x09-\x0D]"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -54,19 +53,6 @@ def normalised(text) -> object:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACE, "")
 
 
-def located(docs: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
-    """docs with the locator of each row; tables that aren't Parquet files are written to the shared folder first."""
-
-    def plain(table: DataFrame) -> DataFrame:
-        hidden = table.metadataColumn("_metadata")
-        return table.select("*", hidden["file_path"].alias(file), hidden["row_index"].alias(row))
-
-    try:
-        return plain(docs)
-    except AnalysisException:
-        return plain(stage(docs, "exact-documents"))
-
-
 PRINTS = "doc_id bigint, digest binary, chars bigint, _file string, _row bigint"
 
 

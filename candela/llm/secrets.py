@@ -2,18 +2,17 @@
 
 Each rule's regular expression is analysed for the trigrams that any match must
 contain; that gives a Boolean query (AND / OR over trigrams of the lower-cased
-text).  The index posts, for every trigram that some query names, the documents
-that have it, as bitmaps over blocks of document ids; a query is answered by
+text).  The index posts, for every trigram that some query names, the rows that
+have it, as bitmaps over blocks of each file's rows; a query is answered by
 intersecting and uniting postings.  Candidates are then verified with the rule's
 expression on the whole text.  A rule without mandatory trigrams (a run of
-hexadecimal figures) scans every text, and so does a row whose id can't be posted
-(null or negative).
+hexadecimal figures) scans every text.
 
 Everything is a DataFrame or SQL expression.  Text is never shuffled unless the
 answers, some bits per document, are too large for Spark to broadcast.
 
-Defined results: null and empty texts have no spans; rows that share an id are
-verified when one of them is a candidate; repeated rows give repeated results; an
+Defined results: null and empty texts have no spans; rows are told by file and
+place, so ids may be null or negative and repeat; repeated rows give repeated results; an
 empty table gives an empty table; extra columns are ignored.
 """
 
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import bit, fresh_name, stage
+from .common import bit, fresh_name, located, stage
 
 
 @dataclass(frozen=True)
@@ -155,17 +154,15 @@ def trigrams(query: object) -> set[str]:
 # --- index and search --------------------------------------------------------
 
 
-def build_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings: gram, block of ids and the bitmap of the block's documents that contain it, written to the shared folder."""
-    text = F.lower(F.col("text"))
+def build_index(docs: DataFrame, grams: list[str], file: str, row: str, text_col: str = "text") -> DataFrame:
+    """Postings: gram, file, block of the file's rows and the bitmap of the block's rows that contain it, written to the shared folder."""
+    low, row_ = F.lower(F.col(f"`{text_col}`").cast("string")), F.col(row)
     present = F.array_compact(F.array(*(F.when(F.col("low").contains(g), F.lit(g)) for g in grams)))
     return stage(
-        docs.selectExpr(f"cast(`{id_col}` as long) id", f"cast(`{text_col}` as string) text")
-        .filter("id >= 0")
-        .select("id", text.alias("low"))
-        .select("id", F.explode(present).alias("gram"))
-        .groupBy("gram", F.bitmap_bucket_number("id").alias("block"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits")),
+        docs.select(F.col(file).alias("file"), row_.alias("row"), low.alias("low"))
+        .select("file", "row", F.explode(present).alias("gram"))
+        .groupBy("gram", "file", F.bitmap_bucket_number("row").alias("block"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits")),
         "secret-postings",
     )
 
@@ -183,7 +180,7 @@ def conjunctions(query: object) -> list[list[str]]:
 
 
 def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
-    """block and, for each rule, the bitmap of its candidates.
+    """file, block and, for each rule, the bitmap of its candidates.
 
     Postings of one alternative are intersected, alternatives of one rule united: two
     aggregations of bitmaps for all rules together.
@@ -194,12 +191,12 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
             for g in grams:
                 wanted.setdefault(g, []).append(F.struct(F.lit(kind).alias("kind"), F.lit(term).alias("term"), F.lit(len(grams)).alias("needs")))
     uses = F.create_map(*(x for g, terms in sorted(wanted.items()) for x in (F.lit(g), F.array(*terms))))
-    asked = index.select("block", "bits", F.explode(F.element_at(uses, F.col("gram"))).alias("use")).select("block", "bits", "use.*")
+    asked = index.select("file", "block", "bits", F.explode(F.element_at(uses, F.col("gram"))).alias("use")).select("file", "block", "bits", "use.*")
     # A block lacks the documents of an alternative when one of its lists has no entry there.
-    whole = asked.groupBy("kind", "term", "needs", "block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("lists")).filter("lists = needs")
-    united = whole.groupBy("kind", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+    whole = asked.groupBy("kind", "term", "needs", "file", "block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("lists")).filter("lists = needs")
+    united = whole.groupBy("kind", "file", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
     by_kind = F.map_from_entries(F.collect_list(F.struct("kind", "bits")))
-    return stage(united.groupBy("block").agg(by_kind.alias("bits")), "secret-candidates")
+    return stage(united.groupBy("file", "block").agg(by_kind.alias("bits")), "secret-candidates")
 
 
 def _long_enough(rule: Rule):
@@ -213,26 +210,30 @@ def _keyed(place: int):
 def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """doc_id, base spans and all spans (array of kind, start, end, text), sorted by start, then kind as listed.
 
-    keep: the rows keep docs' own columns too.
+    keep: the rows keep docs' own columns in place of doc_id, as own.0, own.1, ... in their order.
     """
     rules = [*BASE, *MORE] if rules is None else rules
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     grams = sorted({g for q in queries.values() for c in conjunctions(q) for g in c})
-    found = candidates(build_index(docs, grams, id_col, text_col), queries)
+    file, row = fresh_name(docs, "_file"), fresh_name(docs, "_row")
+    whole = located(docs, file, row)
+    found = candidates(build_index(whole, grams, file, row, text_col), queries)
     own = docs.columns if keep else []
-    rows = docs.select(
+    rows = whole.select(
         *(F.col(f"`{c}`").alias(f"own.{i}") for i, c in enumerate(own)),
         F.expr(f"cast(`{id_col}` as long)").alias("sid"),
         F.expr(f"cast(`{text_col}` as string)").alias("stext"),
-        F.expr(f"case when `{id_col}` >= 0 then bitmap_bucket_number(cast(`{id_col}` as long)) end").alias("block"),
+        F.col(file).alias("file"),
+        F.bitmap_bucket_number(F.col(row)).alias("block"),
+        F.bitmap_bit_position(F.col(row)).alias("place"),
     )
     # No hint: the candidates are staged, so Spark broadcasts them only while they are small.
-    rows = rows.join(found, "block", "left")
-    text, position = F.col("stext"), F.when(F.col("block").isNotNull(), F.bitmap_bit_position("sid"))
+    rows = rows.join(found, ["file", "block"], "left")
+    text = F.col("stext")
     for rule in rules:
         gate = None
         if rule.kind in queries:
-            gate = F.col("block").isNull() | bit(F.col("bits")[rule.kind], position)
+            gate = bit(F.col("bits")[rule.kind], F.col("place"))
         spans = S.matches(text, rule.kind, rule.pattern, rule.group, when=gate)
         if rule.least:
             spans = F.filter(spans, _long_enough(rule))
@@ -245,10 +246,10 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
 
     base = [r.kind for r in rules if r in BASE]
     return rows.select(
-        *(F.col(f"`own.{i}`").alias(c) for i, c in enumerate(own)),
+        *(F.col(f"`own.{i}`") for i in range(len(own))),
         *([] if keep else [F.col("sid").alias("doc_id")]),
-        (sort(base) if base else F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")).alias("secret_base" if keep else "base"),
-        sort([r.kind for r in rules]).alias("secret_spans" if keep else "spans"),
+        (sort(base) if base else F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")).alias("base"),
+        sort([r.kind for r in rules]).alias("spans"),
     )
 
 
@@ -265,16 +266,16 @@ def with_body(text: Column):
 def redact_secrets(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret replaced by its kind in brackets, private keys with their bodies; a length column follows the text."""
     found = find_secrets(docs, rules, id_col, text_col, keep=True)
-    clean, dirty = F.col("secret_clean"), F.size("secret_spans") > 0
-    # Two steps: a select's own alias `text` must not be taken for the column.
-    found = found.withColumn("secret_clean", S.redact(F.col(f"`{text_col}`"), F.transform("secret_spans", with_body(F.col(f"`{text_col}`")))))
+    own = {c: F.col(f"`own.{i}`") for i, c in enumerate(docs.columns)}
+    text = own[text_col].cast("string")
+    found = found.withColumn("clean", S.redact(text, F.transform("spans", with_body(text))))
 
     def column(name: str) -> Column:
         if name == text_col:
-            return clean.alias(name)
+            return F.col("clean").alias(name)
         if name == length_col:
             # Only where the text changed: a length that disagreed before is left as it is.
-            return F.when(dirty, F.length(clean).cast(docs.schema[name].dataType)).otherwise(F.col(f"`{name}`")).alias(name)
-        return F.col(f"`{name}`")
+            return F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[name].dataType)).otherwise(own[name]).alias(name)
+        return own[name].alias(name)
 
     return found.select(*map(column, docs.columns))

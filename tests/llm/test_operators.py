@@ -117,13 +117,49 @@ def test_typed_parts(spark):
     assert b.formatted[b.loss_start : b.loss_end] == "plain" and a.loss_end == 0
 
 
+def test_typed_conversations_read_back(spark):
+    """Two conversations over several tasks and chunks: parts, references and numbers come back; a text like a placeholder stays one."""
+    r, rows, want = random.Random(13), [], {}
+    fields = ("type", "text", "ref", "width", "height", "seconds", "pages")
+    for conv in (1, None):
+        n = 0
+        for turn in range(150):
+            parts, back = [], []
+            for _ in range(r.randint(0, 4)):
+                if r.random() < 0.5:
+                    text = r.choice(["see <|image:0|>", "\\", "</s>", "x\ny", ""])
+                    parts.append({"type": "text", "text": text})
+                    if text and back and back[-1][0] == "text":
+                        back[-1] = ("text", back[-1][1] + text)
+                    elif text:
+                        back.append(("text", text))
+                else:
+                    kind = r.choice(["image", "audio", "document"])
+                    parts.append({"type": kind, "ref": f"{conv}-{n}"})
+                    back.append((kind, n, f"{conv}-{n}"))
+                    n += 1
+            role = ("user", "assistant")[turn % 2]
+            rows.append((conv, turn, role, None, [tuple(p.get(k) for k in fields) for p in parts]))
+            want.setdefault(conv, []).append((role, back))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts array<{chat.PART}>").repartition(4)
+    chunks = chat.join_turns(df, chunk_chars=500, parts_col="parts")
+    assert chunks.select("part").distinct().count() > 1
+    got = {}
+    for t in sorted(chat.read_turns(chunks).collect(), key=lambda t: (t.part, t.seq, t.number)):
+        got.setdefault(t.conv_id, []).append((t.role, [(p.type, p.text) if p.type == "text" else (p.type, p.position, p.ref) for p in t.parts]))
+    assert got == want
+    for c in chunks.collect():
+        assert [a.position for a in c.attachments] == sorted(a.position for a in c.attachments)
+        assert [list(chat.parse_parts(c.formatted[s.start : s.end])) for s in c.loss] == [list(chat.parse_parts(raw)) for role, raw in chat.raw_turns(c.formatted) if role == "assistant"]
+
+
 def test_escapes_are_reversible():
     r = random.Random(5)
     bits = [*chat.CONTROL, "\\", "\n", "n", " [/INST]</s>\n", "</s>\n", "x", "<", "|", "["]
     for _ in range(500):
         turns = [(r.choice(["user", "assistant", "a\nb", "", "\\"]), "".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for _ in range(r.randint(0, 5))]
         text = "".join(chat.format_turn(role, chat.escape(t))[0] for role, t in turns)
-        assert [(role, t) for role, t, _ in chat.parse_turns(text)] == turns
+        assert list(chat.parse_turns(text)) == turns
     with pytest.raises(ValueError):
         list(chat.parse_turns("<s>assistant\nno end"))
 
@@ -137,6 +173,38 @@ def test_long_conversations_are_chunked(spark):
     assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == B.op2(rows)[1]
 
 
+CLASHING = "_gone _good good id secret_spans secret_clean clean spans base _file _row file row block bits place sid stext digest group_size kept score n_words component_id n_shingles doc kind low gram bin".split()
+
+
+@pytest.mark.parametrize("stage", ["quality", "exact", "near", "secrets"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    words = lambda d: " ".join(f"w{(d * 37 + k * 11) % 997}" for k in range(80))
+    texts = [words(d) + (" password = hunter2222" if d == 3 else "") for d in range(8)]
+    rows = [(d, texts[d - d % 2 if d > 5 else d], *(f"{c}{d}" for c in CLASHING)) for d in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(d, 1) for d in range(8)], "doc_id long, quality int")
+    run = {
+        "quality": lambda: quality.filter_quality(df, quality.fit(df, quality.trusted_texts(df, labels))),
+        "exact": lambda: exact_dedup.deduplicate(df), "near": lambda: neardup.deduplicate(df), "secrets": lambda: secrets.redact_secrets(df),
+    }[stage]
+    got = run()
+    assert got.columns == df.columns
+    got = {x.doc_id: tuple(x) for x in got.collect()}
+    assert set(got) == set(range(8)) - ({7} if stage in ("exact", "near") else set())
+    assert all(v[2:] == rows[d][2:] and (v[1] == rows[d][1] or (stage, d) == ("secrets", 3)) for d, v in got.items())
+
+
+def test_many_matches_in_one_text(spark):
+    """20,000 matches: spans in blocks, and redaction of them all."""
+    n = 20_000
+    df = spark.createDataFrame([(1, " ".join(f"a{k}@b.cd" for k in range(n)))], "doc_id long, text string")
+    base = pii.find_pii(df).first().base
+    text = df.first().text
+    assert len(base) == n and all(text[s.start : s.end] == s.text == f"a{k}@b.cd" for k, s in enumerate(base))
+    spans = F.array(*(F.struct(F.lit("x").alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((1, 3), (2, 6), (8, 9))))
+    assert df.select(S.redact(F.col("text"), spans).alias("r")).first().r == text[:1] + "<x>" + text[6:8] + "<x>" + text[9:]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q(r"[0-9a-f]{24,}") is True and q(r"a+b") is True
