@@ -291,7 +291,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = 0, sequence: int = 1024, targ
                 for place, length in (x for offset, m in runs for x in schedule.runs(number.get(queue, len(names) - 1), offset, m)):
                     while length:
                         m = min(length, sequence - place % sequence)
-                        piece = ids[4 * start : 4 * (start + m)]
+                        piece = bytes(ids[4 * start : 4 * (start + m)])
                         for c, v in zip(out, (key, start, m, zlib.crc32(piece), n, place // sequence, place % sequence, queue, piece)):
                             c.append(v)
                         start, place, length = start + m, place + m, length - m

@@ -152,11 +152,13 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     while block := decode_block(stream):
                         doc_ids, sizes, ids = block
                         ends = np.cumsum(sizes)
-                        raw = memoryview(ids.tobytes())
+                        # From buffers: pa.array() of memoryview slices never gives the block back.
+                        cuts = np.concatenate(([0], 4 * ends)).astype(np.int32)
+                        raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.tobytes())])
                         yield pa.RecordBatch.from_arrays([
                             pa.array(doc_ids, pa.int64()),
                             pa.array(start + ends - sizes, pa.int64()),
-                            pa.array([raw[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary()),
+                            raw,
                         ], names=["doc_id", "start", "ids"])
                         start += int(ends[-1])
 
