@@ -12,7 +12,9 @@ into NULL.  A NaN that enters a recurrence stays, as it would in the arithmetic.
 from __future__ import annotations
 
 import math
+import operator
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -373,7 +375,7 @@ class Hilbert:
             bars = list(self.raw)[-length:] if length else []
             if 0 < len(bars) < length:  # before the first bar there is the first bar
                 bars = [bars[0]] * (length - len(bars)) + bars
-            average = sum(reversed(bars)) / length if length else 0.0
+            average = reduce(operator.add, reversed(bars), 0.0) / length if length else 0.0  # not `sum`, which compensates
             a = self.averages
             trendline = (4.0 * average + 3.0 * a[0] + 2.0 * a[1] + a[2]) / 10.0
             self.averages = [average, a[0], a[1]]

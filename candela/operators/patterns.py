@@ -181,7 +181,7 @@ def candle(f: Frame, name: str, o: Column, h: Column, l: Column, c: Column, pene
     names: dict[str, str] = {}
 
     def column(x: Column) -> str:
-        return re.search(r"__t\d+_", str(x))[0]
+        return re.search(r"__t\d+_\d*", str(x))[0]
 
     def price(letter: str, k: int) -> str:
         return column(f.lag(bars["ohlc".index(letter)], k)) if k else column(bars["ohlc".index(letter)])
@@ -200,7 +200,7 @@ def candle(f: Frame, name: str, o: Column, h: Column, l: Column, c: Column, pene
         sql = places.sub(lambda m: price(m[1], int(m[2])), sql)
         value = places.sub(lambda m: price(m[1], int(m[2])), rule_sql(code, threshold))
         # A NaN price makes its bar black and its comparisons false.
-        taking_part = set(names) | set(re.findall(r"__t\d+_", sql))
+        taking_part = set(names) | set(re.findall(r"__t\d+_\d*", sql))
         hit = F.expr(_guarded(sql, taking_part))
         out = F.when(hit, F.expr(f"cast({value} AS double)")) if out is None else out.when(hit, F.expr(f"cast({value} AS double)"))
     return F.when(f.rn >= lookback, out.otherwise(0.0)).otherwise(0.0)

@@ -46,8 +46,11 @@ def simple(values: dict[str, str] | str, lookback: int = 0, steps: list[dict[str
     return f"WITH {', '.join(ctes)} {_final('v', {n: n for n in values}, f'rn >= {lookback}')}"
 
 
-def recursion(states: list[tuple[str, str, str]], values: dict[str, str] | str, lookback: int, steps: list[dict[str, str]] | None = None) -> str:
-    """states: (name, value before the first bar, next value over the new row's columns, `p_name` of the last row and the new values of earlier states)."""
+def recursion(states: list[tuple[str, str, str]], values: dict[str, str] | str, lookback: int, steps: list[dict[str, str]] | None = None, then: list[dict[str, str]] | None = None) -> str:
+    """states: (name, value before the first bar, next value over the new row's columns, `p_name` of the last row and the new values of earlier states).
+
+    then: layers of windows over the rows and their states.
+    """
     values = {"value": values} if isinstance(values, str) else values
     ctes, source = [BARS], "b"
     for k, columns in enumerate(steps or []):
@@ -62,7 +65,11 @@ def recursion(states: list[tuple[str, str, str]], values: dict[str, str] | str,
         inner = f"(SELECT *, ({e})::DOUBLE AS {n} FROM {inner})"
     ctes.append(f"r AS (SELECT key, -1::BIGINT AS rn, {begin} FROM (SELECT DISTINCT key FROM x) UNION ALL SELECT key, rn, {after} FROM {inner})")
     ctes.append("y AS (SELECT x.*, " + ", ".join(f"r.p_{n} AS {n}" for n, _, _ in states) + " FROM r JOIN x USING (key, rn))")
-    ctes.append(f"v AS (SELECT key, rn, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in values.items())} FROM y)")
+    source = "y"
+    for k, columns in enumerate(then or []):
+        ctes.append(f"y{k} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM {source})")
+        source = f"y{k}"
+    ctes.append(f"v AS (SELECT key, rn, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in values.items())} FROM {source})")
     return f"WITH RECURSIVE {', '.join(ctes)} {_final('v', {n: n for n in values}, f'rn >= {lookback}')}"
 
 
@@ -139,6 +146,58 @@ def _sar(signed: bool) -> str:
     return recursion(states, "CASE WHEN side = 1 THEN stop ELSE -stop END" if signed else "stop", 1, steps)
 
 
+def _cycle(start: int) -> tuple[list[tuple[str, str, str]], list[dict[str, str]]]:
+    """(states, steps) of the dominant cycle; start: its first bar.
+
+    A Hilbert line is a filter over every second of the last seven bars: with nothing before `start`,
+    its two interleaved rings are the taps 0.0962, 0.5769, -0.5769, -0.0962 at lags 0, 2, 4, 6.
+    """
+    taps = lambda x: f"(0.0962 * {x[0]} + 0.5769 * {x[1]} - 0.5769 * {x[2]} - 0.0962 * {x[3]})"
+    begun = lambda e: f"CASE WHEN rn < {start} THEN 0 ELSE {e} END"
+    shifts = lambda x, n: [(f"{x}{k}", "0", f"p_{x}{k - 1 or ''}") for k in range(1, n + 1)]
+    states = [
+        ("adj", "0", "0.075 * p_period + 0.54"),
+        ("d", "0", "line * adj"), *shifts("d", 9),
+        ("q", "0", taps(["d", "d2", "d4", "d6"]) + " * adj"), *shifts("q", 6),
+        ("ji", "0", taps(["d3", "d5", "d7", "d9"]) + " * adj"),
+        ("jq", "0", taps(["q", "q2", "q4", "q6"]) + " * adj"),
+        ("ii", "0", "0.2 * (d3 - jq) + 0.8 * p_ii"),
+        ("qq", "0", "0.2 * (q + ji) + 0.8 * p_qq"),
+        ("re", "0", "0.2 * (ii * p_ii + qq * p_qq) + 0.8 * p_re"),
+        ("im", "0", "0.2 * (ii * p_qq - qq * p_ii) + 0.8 * p_im"),
+        ("raw", "0", "CASE WHEN re <> 0 AND im <> 0 THEN 360 / degrees(atan(im / re)) ELSE p_period END"),
+        ("held", "0", "greatest(6.0, least(50.0, greatest(0.67 * p_period, least(1.5 * p_period, raw))))"),
+        ("period", "0", begun("0.2 * held + 0.8 * p_period")),
+        ("sp", "0", begun("0.33 * period + 0.67 * p_sp")),
+    ]
+    back = lambda k: f"coalesce({_lag('s', k)}, 0)"
+    steps = [{"s": begun(f"(4 * close + 3 * {_lag('close')} + 2 * {_lag('close', 2)} + {_lag('close', 3)}) / 10.0")}, {"line": taps(["s", back(2), back(4), back(6)])}]
+    return states, steps
+
+
+def _phase(values: dict[str, str] | str, lookback: int) -> str:
+    """The cycle's phase, its waves, trendline and mode, as windows over the cycle.
+
+    A bar whose cosine part is exactly zero (only at the start, where the period rounds to no bars) has no
+    phase here; none of the outputs, which begin at bar 63, reaches back to it.
+    """
+    states, steps = _cycle(37)
+    ago = lambda x: f"coalesce({_lag(x)}, 0)"
+    # Newest bar first, one after the other.
+    total = lambda x: f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(n), lambda k: ({x})::DOUBLE)), lambda x, y: x + y)"
+    wave = lambda f: total(f"CASE WHEN k < len(ss) THEN {f}(2 * pi() * k / n) * ss[len(ss) - k] ELSE 0 END")
+    then = [
+        {"n": "CASE WHEN rn < 37 THEN 0 ELSE floor(sp + 0.5) END::BIGINT", "ss": f"list(s) {_w(50)}", "cs": f"list(close) {_w(50)}"},
+        {"a": wave("sin"), "b": wave("cos"), "mean": f"CASE WHEN n = 0 THEN 0 ELSE {total('cs[greatest(len(cs) - k, 1)]')} / n END"},
+        {"turn": "degrees(atan(a / b)) + 90 + 360 / sp + CASE WHEN b < 0 THEN 180 ELSE 0 END"},
+        {"phase": "CASE WHEN turn > 315 THEN turn - 360 ELSE turn END", "trend": "(4 * mean + " + " + ".join(f"{4 - k} * coalesce({_lag('mean', k)}, 0)" for k in (1, 2, 3)) + ") / 10.0"},
+        {"sine": "coalesce(sin(radians(phase)), 0)", "lead": "coalesce(sin(radians(phase + 45)), 0)"},
+        {"crossed": f"rn >= 37 AND (sine > lead AND {ago('sine')} <= {ago('lead')} OR sine < lead AND {ago('sine')} >= {ago('lead')})", "moved": f"phase - {ago('phase')}"},
+        {"days": f"rn + 1 - coalesce(max(CASE WHEN crossed THEN rn END) {_ALL}, 37)"},
+    ]
+    return recursion(states, values, lookback, steps, then)
+
+
 def _hikkake(modified: bool) -> str:
     inside = "h1 < h2 AND l1 > l2"
     near = ""
@@ -273,6 +332,21 @@ def oracle_sql() -> dict[str, str]:
     out["kama"] = recursion([("y", "NULL", "CASE WHEN rn < 9 THEN NULL WHEN rn = 9 THEN close ELSE p_y + c * (close - p_y) END")], "y", 10, [
         {"move": f"abs(close - {_lag('close')})", "net": f"abs(close - {_lag('close', 10)})"}, {"path": f"sum(move) {_w(10)}"}, {"c": f"((CASE WHEN path > 0 THEN net / path ELSE 0 END) * {fast - slow!r} + {slow!r}) ** 2"}])
     out["sar"], out["sarext"] = _sar(False), _sar(True)
+    cycle, smoothed = _cycle(12)
+    out["ht_dcperiod"] = recursion(cycle, "sp", 32, smoothed)
+    out["ht_phasor"] = recursion(cycle, {"inphase": "d3", "quadrature": "q"}, 32, smoothed)
+    adaptive = [
+        ("angle", "0", "CASE WHEN d3 <> 0 THEN degrees(atan(q / d3)) ELSE 0 END"),
+        ("rate", "0", "CASE WHEN rn < 12 THEN 0 WHEN p_angle - angle > 1 THEN greatest(0.05, 0.5 / (p_angle - angle)) ELSE 0.5 END"),
+        ("mama", "0", "rate * close + (1 - rate) * p_mama"),
+        ("fama", "0", "rate / 2 * mama + (1 - rate / 2) * p_fama"),
+    ]
+    out["mama"] = recursion([*cycle, *adaptive], {"mama": "mama", "fama": "fama"}, 32, smoothed)
+    out["ht_dcphase"], out["ht_trendline"] = _phase("phase", 63), _phase("trend", 63)
+    out["ht_sine"] = _phase({"sine": "sine", "leadsine": "lead"}, 63)
+    away = "coalesce(trend <> 0 AND abs((s - trend) / trend) >= 0.015, FALSE)"
+    cyclic = "crossed OR days < 0.5 * sp OR moved > 0.67 * 360 / sp AND moved < 1.5 * 360 / sp"
+    out["ht_trendmode"] = _phase(f"CASE WHEN rn < 63 THEN 0 WHEN {away} THEN 1 WHEN {cyclic} THEN 0 ELSE 1 END", 0)
     out |= {n: pattern(n) for n in PATTERNS}
     out |= {"cdlhikkake": _hikkake(False), "cdlhikkakemod": _hikkake(True)}
     out["vwap"] = simple(f"sum(p) {_w(14)} / sum(volume) {_w(14)}", 13, [{"p": "(high + low + close) / 3 * volume"}])

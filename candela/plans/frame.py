@@ -2,9 +2,14 @@
 
 An indicator asks the frame for intermediate columns: window expressions (`add`)
 and ordered scans (`scan`).  Equal requests are made once.  `build` arranges them
-in layers, each layer's windows in one projection and each layer's scans in one
-pass over the sorted partitions.  All windows share one partitioning and ordering,
-so Spark plans one exchange and one sort for all of them.
+in stages: a column's stage is the number of scans on its longest way from the
+bars, so all scans that don't need each other's outputs share one pass.  Within a
+stage, expressions that build on each other are layers of projections.
+
+A stage with windows has one exchange on the key and one sort, for its windows and
+its scan together.  A later stage without windows has neither: the rows leave a
+scan as they came in, by key and in order, and go straight into the next one.
+Columns that nothing later needs are dropped before a scan.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import INF, NAN, number
 from .scan import ordered_scan
 
-_TEMP = re.compile(r"__t\d+_")
+_TEMP = re.compile(r"__t\d+_\d*")
 
 
 class Frame:
@@ -30,24 +35,28 @@ class Frame:
         self.order = [order] if isinstance(order, str) else list(order)
         self.window = Window.partitionBy(*self.keys).orderBy(*self.order)
         self._known: dict[str, str] = {}
-        self._exprs: dict[int, list[tuple[str, Column]]] = {}
+        self._exprs: dict[tuple[int, int], list[tuple[str, Column]]] = {}
         self._scans: dict[int, list[tuple[str, Callable, list[str], int]]] = {}
         self._level: dict[str, int] = {}
-        self._after_scan: dict[str, bool] = {}
+        self._stage: dict[str, int] = {}
 
     # -- intermediate columns
 
-    def _depth(self, expression: Column) -> int:
-        """The first layer in which all that the expression names is there."""
+    def _place(self, expression: Column) -> tuple[int, int]:
+        """(stage, layer): the first in which all that the expression names is there."""
         names = set(_TEMP.findall(str(expression)))
-        return max((self._level[n] + 1 for n in names), default=0)
+        stage = max((self._stage[n] for n in names), default=0)
+        return stage, max((self._level[n] + 1 for n in names if self._stage[n] == stage), default=0)
 
     def add(self, expression: Column) -> Column:
         text = str(expression)
+        if text[8:-2] in self._level:
+            return expression
         if text not in self._known:
             name = f"__t{len(self._level)}_"
-            self._level[name] = level = self._depth(expression)
-            self._exprs.setdefault(level, []).append((name, expression))
+            place = self._place(expression)
+            self._stage[name], self._level[name] = place
+            self._exprs.setdefault(place, []).append((name, expression))
             self._known[text] = name
         return F.col(self._known[text])
 
@@ -55,14 +64,12 @@ class Frame:
         """Columns that a kernel makes of the inputs, bar by bar in order. kernel: makes a fresh state (see operators.kernels)."""
         text = f"{getattr(kernel, 'label', kernel)}({', '.join(map(str, inputs))})"
         if text not in self._known:
-            named = [self.add(c) for c in inputs]
-            ins = [_TEMP.search(str(c))[0] for c in named]
-            level = max((self._level[n] for n in ins), default=0)
+            ins = [_TEMP.search(str(self.add(c)))[0] for c in inputs]
+            stage = max((self._stage[n] for n in ins), default=0)
             base = f"__t{len(self._level)}_"
-            self._scans.setdefault(level, []).append((base, kernel, ins, outputs))
-            self._level[base] = level
-            for k in range(outputs):
-                self._level[f"{base}{k}"] = level
+            self._scans.setdefault(stage, []).append((base, kernel, ins, outputs))
+            for name in (base, *(f"{base}{k}" for k in range(outputs))):
+                self._stage[name], self._level[name] = stage + 1, -1
             self._known[text] = base
         return [F.col(f"{self._known[text]}{k}") for k in range(outputs)]
 
@@ -112,12 +119,27 @@ class Frame:
 
     # -- the plan
 
+    def _live(self, stage: int, columns: list[str], outputs: dict[str, Column], kept: list[str]) -> list[str]:
+        """The columns that the scan of a stage or anything after it needs."""
+        texts = [str(e) for (s, _), es in self._exprs.items() if s > stage for _, e in es]
+        needed = set(re.findall(r"\w+", " ".join([*texts, *map(str, outputs.values())])))
+        needed.update(n for s, scans in self._scans.items() if s >= stage for _, _, ins, _ in scans for n in ins)
+        return [c for c in columns if c in needed or c in kept or not re.fullmatch(r"\w+", c)]
+
     def build(self, outputs: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
         df = self.df
-        for level in range(1 + max([*self._exprs, *self._scans], default=-1)):
-            if level in self._exprs:
-                df = df.withColumns(dict(self._exprs[level]))
-            if level in self._scans:
-                df = ordered_scan(df, self.keys, self.order, self._scans[level])
         kept = self.df.columns if keep is None else keep
+        for stage in range(1 + max([*(s for s, _ in self._exprs), *self._scans], default=-1)):
+            layers = [self._exprs[at] for at in sorted(self._exprs) if at[0] == stage]
+            dealt = stage == 0 or any(" OVER (" in str(e) for layer in layers for _, e in layer)
+            if dealt and stage in self._scans:
+                df = df.repartition(*(F.col(f"`{k}`") for k in self.keys))
+            for layer in layers:
+                df = df.withColumns(dict(layer))
+            if stage in self._scans:
+                live = self._live(stage, df.columns, outputs, [*kept, *self.keys, *self.order])
+                df = df.select(*(F.col(f"`{c}`") for c in live))
+                if dealt:
+                    df = df.sortWithinPartitions(*(F.col(f"`{c}`") for c in [*self.keys, *self.order]))
+                df = ordered_scan(df, self.keys, self._scans[stage])
         return df.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in outputs.items()))

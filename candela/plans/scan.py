@@ -1,8 +1,8 @@
 """The ordered scan: stateful kernels over the bars of each key, in order.
 
-One exchange on the key and one sort; then each task streams its sorted rows
-through the kernels batch by batch.  A kernel keeps a few numbers per key, so a
-task never holds more than one batch, however long a key's series is.
+Each task streams its rows, which come by key and in order, through the kernels
+batch by batch.  A kernel keeps a few numbers per key, so a task never holds more
+than one batch, however long a key's series is.  Rows leave in the order they came.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 
@@ -40,8 +39,11 @@ def _changes(batch: pa.RecordBatch, keys: list[int]) -> list[int]:
     return [0, *(np.flatnonzero(differs) + 1).tolist(), n]
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], scans: list[tuple[str, Callable, list[str], int]]) -> DataFrame:
-    """df with the columns of the scans. scans: (output base name, kernel maker, input columns, outputs)."""
+def ordered_scan(df: DataFrame, keys: list[str], scans: list[tuple[str, Callable, list[str], int]]) -> DataFrame:
+    """df with the columns of the scans. df: a key's rows in one partition, together and in order.
+
+    scans: (output base name, kernel maker, input columns, outputs).
+    """
     share_code(df.sparkSession)
     names = df.columns
     key_at, in_at = [names.index(k) for k in keys], [[names.index(c) for c in ins] for _, _, ins, _ in scans]
@@ -69,5 +71,4 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], scans: list[t
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *outputs])
 
     schema = StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in outputs)])
-    dealt = df.repartition(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{c}`") for c in [*keys, *order]))
-    return dealt.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ def resample(df: DataFrame, key: str, ts: str, value: str, unit: str = "hour", o
 
 
 def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour", key: str = "event_type") -> DataFrame:
-    return resample(spark.read.parquet(f"{sf_dir}/events.parquet"), key, "ts", "value", unit)
+    return resample(spark.read.parquet(f"{sf_dir}/events.parquet"), key, "ts", "value", unit, ["ts", "event_id"])
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
