@@ -69,7 +69,10 @@ def test_op5(spark, sf, docs):
 def test_op6(spark, sf, docs):
     got = rows(queries.op6_quality_rules(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert {d: v[:-1] for d, v in got.items()} == {d: B.op6(t) for d, t in docs}
-    assert not any(v[-1] and v[-2] for v in got.values())
+    scores, least = B.op6_scores(docs, {d for d, _ in docs if d % 2 and d < 120})
+    assert {d: v[-1] for d, v in got.items()} == {d: not B.op6(t)[5] and scores[d] >= least for d, t in docs}
+    scored = rows(queries.op6_quality_rules(spark, sf).select("doc_id", "score"), "doc_id", "score")
+    assert all(abs(scored[d][0] - s) < 1e-9 for d, s in scores.items())
 
 
 def test_op7(spark, sf, docs):
