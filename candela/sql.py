@@ -14,6 +14,8 @@ from pyspark.sql.functions import udtf
 from .operators import kernels as K
 from .plans.scan import share_code
 
+#: Rows that are pushed through a kernel at once.
+CHUNK = 4096
 #: name -> (kernel from the parameters, value columns after key and order, outputs, bars without a value)
 TABLE_FUNCTIONS = {
     "ta_ema": (lambda p=20: K.Ema(int(p)), 1, ("value",), lambda p=20: int(p) - 1),
@@ -28,15 +30,27 @@ TABLE_FUNCTIONS = {
 def _function(make, inputs: int, outputs: tuple[str, ...], lookback):
     class Scan:
         def __init__(self):
-            self.kernel, self.at = None, 0
+            self.kernel, self.at, self.rows = None, 0, []
 
         def eval(self, row, *params):
             """row: key, order, values."""
             if self.kernel is None:
                 self.kernel, self.skip = make(*params), lookback(*params)
-            made = self.kernel.push(*(np.array([float("nan") if row[2 + k] is None else float(row[2 + k])]) for k in range(inputs)))
-            at, self.at = self.at, self.at + 1
-            yield (str(row[0]), at, *(None if at < self.skip else float(m[0]) for m in made))
+            self.rows.append((str(row[0]), *(float("nan") if row[2 + k] is None else float(row[2 + k]) for k in range(inputs))))
+            if len(self.rows) == CHUNK:
+                yield from self.flush()
+
+        def terminate(self):
+            if self.rows:
+                yield from self.flush()
+
+        def flush(self):
+            keys, *values = zip(*self.rows)
+            self.rows = []
+            made = [m.tolist() for m in self.kernel.push(*map(np.array, values))]
+            for key, *outs in zip(keys, *made):
+                yield (key, self.at, *(None if self.at < self.skip else o for o in outs))
+                self.at += 1
 
     return udtf(Scan, returnType="key string, rn long, " + ", ".join(f"{o} double" for o in outputs))
 
