@@ -11,7 +11,7 @@ A whole table goes through one pass without a shuffle:
 
 1. Words, the matches of the split pattern, are found per batch of documents; a
    batch is one row: its documents as arrays of word numbers and the words that
-   this task has not seen before, as byte strings.
+   this task has not seen before, as byte arrays.
 2. The fold turns each new word's bytes into ids; these ids are decoded.
 3. The next step of the same task keeps the words' ids and decoded bytes and
    concatenates them per document.
@@ -88,10 +88,12 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: struct of at, entries, bytes (each byte's rank) and end (the token of a word's ends)."""
+    """The rank map as a literal: struct of at, entries, first (the pair that each code of _codes begins as) and end (the token of a word's ends)."""
     at, entries = pair_table(ranks)
-    whole = {"at": at.tolist(), "entries": entries.tolist(), "bytes": [ranks[bytes([b])] for b in range(256)], "end": len(at) - 1}
-    return F.from_json(F.lit(json.dumps(whole)), "struct<at:array<int>,entries:array<bigint>,bytes:array<int>,end:int>")
+    tokens = np.array([*(ranks[bytes([b])] for b in range(256)), len(at) - 1])
+    first = entries[at[tokens][:, None] + tokens] ^ (tokens << _OWNER)[:, None] | tokens
+    whole = {"at": at.tolist(), "entries": entries.tolist(), "first": [*first.ravel().tolist(), _NONE | len(at) - 1], "end": len(at) - 1}
+    return F.from_json(F.lit(json.dumps(whole)), "struct<at:array<bigint>,entries:array<bigint>,first:array<bigint>,end:bigint>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -103,63 +105,57 @@ def piece_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """body(value) with the value computed once: the finish of a fold over nothing."""
+    # An element of a transformed array would do, but finding it works out the type of the whole body each time.
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def _right(pair: Column) -> Column:
-    return pair.bitwiseAND(_IDS)
+    return pair.bitwiseAND(F.lit(_IDS).cast("long"))
 
 
 def _pair(table: Column, a: Column, b: Column, rest: Column) -> Column:
-    """a, b: tokens as ints; rest: the place and b in their bits."""
+    """a, b: tokens; rest: the place and b in their bits."""
     # The owner's bits become 0 if the entry is a's own.
-    entry = F.get(table["entries"], F.get(table["at"], a) + b)
-    return entry.bitwiseXOR(F.shiftleft(a.cast("long"), _OWNER)).bitwiseOR(rest)
+    return table["entries"][table["at"][a] + b].bitwiseXOR(F.shiftleft(a, _OWNER)).bitwiseOR(rest)
 
 
-def _merge(table: Column, pairs: Column, best: Column) -> Column:
-    """The pairs once the pair `best`, which joins, has become one token."""
+def _merge(table: Column, pairs: Column, best: Column, at: Column, behind=lambda rest: rest) -> Column:
+    """The pairs once the pair `best`, which joins, has become one token. at: its index; two pairs are before it and one after."""
 
-    def at(k: Column) -> Column:
-        """k: its position, from 1; there are two pairs before and one after."""
-        joined, before, after = F.shiftright(best, _RANK).cast("int"), F.get(pairs, k - 2), F.get(pairs, k)
-        left = _pair(table, _right(F.get(pairs, k - 3)).cast("int"), joined, before.bitwiseAND(_PLACES).bitwiseOR(joined.cast("long")))
-        right = _pair(table, joined, _right(after).cast("int"), best.bitwiseAND(_PLACES).bitwiseOR(_right(after)))
-        return F.concat(F.slice(pairs, F.lit(1), k - 2), F.array(left, right), F.slice(pairs, k + 2, F.size(pairs)))
+    def replaced(k: Column) -> Column:
+        joined, after = F.shiftright(best, _RANK), _right(pairs[k + 1])
+        left = _pair(table, _right(pairs[k - 2]), joined, pairs[k - 1].bitwiseAND(F.lit(_PLACES)).bitwiseOR(joined))
+        right = _pair(table, joined, after, best.bitwiseAND(F.lit(_PLACES)).bitwiseOR(after))
+        return F.concat(F.slice(pairs, F.lit(1), k - 1), F.array(left, right), behind(F.slice(pairs, k + 3, F.size(pairs))))
 
-    return _let(F.array_position(pairs, best).cast("int"), at)
+    return _let(at, replaced)
 
 
-def _first_pairs(table: Column, word: Column) -> Column:
-    """All neighbours of a byte string (characters U+0000 to U+00FF) between its two ends; before them one that holds the first end."""
-    tokens = F.concat(F.array(table["end"]), F.transform(F.split(word, ""), lambda c: F.get(table["bytes"], F.ascii(c))), F.array(table["end"]))
-
-    def pairs(ids: Column) -> Column:
-        def pair(b: Column, i: Column) -> Column:
-            rest = F.shiftleft((i % (1 << _PLACE)).cast("long"), _ID).bitwiseOR(b.cast("long"))
-            return F.when(i == 0, rest.bitwiseOR(F.lit(_NONE))).otherwise(_let(F.get(ids, i - 1), lambda a: _pair(table, a, b, rest)))
-
-        return F.transform(ids, pair)
-
-    return _let(tokens, pairs)
+def _first_pairs(table: Column, codes: Column, place) -> Column:
+    """The pairs that a word's codes begin as; place: their places by their positions."""
+    return F.transform(codes, lambda c, i: table["first"][c].bitwiseOR(F.shiftleft(place(i).cast("long"), _ID)))
 
 
 def _tokens(pairs: Column, end: Column) -> Column:
-    """array<int>: the pairs' right tokens but for the ends."""
-    return F.transform(F.filter(pairs, lambda e: _right(e) < end), lambda e: _right(e).cast("int"))
+    """array<bigint>: the pairs' right tokens but for the ends."""
+    return F.filter(F.transform(pairs, _right), lambda t: t < end)
+
 
+def _fold_flat(table: Column, codes: Column) -> Column:
+    """State: the array of pairs, whose places are their indices. A step merges the smallest."""
 
-def _fold_flat(table: Column, word: Column) -> Column:
-    """State: the array of pairs. A step merges the smallest."""
+    def merge(pairs: Column, best: Column) -> Column:
+        at = F.shiftright(best.bitwiseAND(F.lit(_PLACES)), _ID).cast("int")
+        return _merge(table, pairs, best, at, lambda rest: F.transform(rest, lambda e: e - F.lit(1 << _ID)))
 
     def step(pairs: Column, _: Column) -> Column:
-        return _let(F.array_min(pairs), lambda best: F.when(best < F.lit(_NONE), _merge(table, pairs, best)).otherwise(pairs))
+        return _let(F.array_min(pairs), lambda best: F.when(best < F.lit(_NONE), merge(pairs, best)).otherwise(pairs))
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(word)), _first_pairs(table, word), step, lambda pairs: _tokens(pairs, table["end"]))
+    return F.aggregate(F.sequence(F.lit(4), F.size(codes)), _first_pairs(table, codes, lambda i: i), step, lambda pairs: _tokens(pairs, table["end"]))
 
 
-def _fold_blocks(table: Column, word: Column, size: int) -> Column:
+def _fold_blocks(table: Column, codes: Column, size: int) -> Column:
     """The same over a long word, whose pairs are held in blocks: a step looks at the blocks' lowest ranks and rewrites three blocks.
 
     Each block but the last has two pairs or more, so what a merge touches is in the block, the one before and the one after it.
@@ -182,8 +178,9 @@ def _fold_blocks(table: Column, word: Column, size: int) -> Column:
         first = F.greatest(b - 1, F.lit(1))
         count = F.least(b + 1, F.size(blocks)) - first + 1
         local = F.flatten(F.slice(blocks, first, count))
-        # Blocks before it have higher ranks only, so the first pair that equals its smallest is its own.
-        merged = _let(local, lambda pairs: _let(F.array_min(F.get(blocks, b - 1)), lambda best: _merge(table, pairs, best)))
+        begin = F.when(first < b, F.size(F.get(blocks, first - 1))).otherwise(0)
+        at = lambda best: begin + F.shiftright(best.bitwiseAND(F.lit(_PLACES)), _ID).cast("int")
+        merged = _let(local, lambda pairs: _let(F.array_min(F.get(blocks, b - 1)), lambda best: _merge(table, pairs, best, at(best))))
 
         def spliced(old: Column, new: Column) -> Column:
             return F.concat(F.slice(old, F.lit(1), first - 1), new, F.slice(old, first + count, F.size(old)))
@@ -195,31 +192,39 @@ def _fold_blocks(table: Column, word: Column, size: int) -> Column:
         at = F.when(found < F.lit(1 << _ID), F.array_position(state["lows"], found)).cast("int")
         return _let(at, lambda b: F.when(b.isNull(), state).otherwise(rewrite(state, b)))
 
-    start = _let(_let(_first_pairs(table, word), dealt), lambda blocks: F.struct(blocks.alias("blocks"), F.transform(blocks, low).alias("lows")))
-    return F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step, lambda s: _tokens(F.flatten(s["blocks"]), table["end"]))
+    start = _let(_let(_first_pairs(table, codes, lambda i: F.lit(0)), dealt), lambda blocks: F.struct(blocks.alias("blocks"), F.transform(blocks, low).alias("lows")))
+    return F.aggregate(F.sequence(F.lit(4), F.size(codes)), start, step, lambda s: _tokens(F.flatten(s["blocks"]), table["end"]))
 
 
 def fold(word: Column, table: Column, flat: int = FLAT, block: int = BLOCK) -> Column:
-    """array<int>: the ids of a word (a byte string) when no ranked merge is left."""
+    """array<bigint>: the ids of a word (a byte string: characters U+0000 to U+00FF) when no ranked merge is left."""
+    ends = F.array(F.lit(256))
+    values = F.concat(ends, F.transform(F.split(word, ""), F.ascii), ends)
+    codes = _let(values, lambda v: F.transform(v, lambda b, i: F.when(i == 0, 257 * 257).otherwise(F.get(v, i - 1) * 257 + b)))
+    return fold_codes(codes, table, flat, block)
+
+
+def fold_codes(codes: Column, table: Column, flat: int = FLAT, block: int = BLOCK) -> Column:
+    """The same of a word's codes (see _codes)."""
 
     def ids(t: Column) -> Column:
-        single = F.array(F.get(t["bytes"], F.ascii(word)))
-        return F.when(F.length(word) < 2, single).when(F.length(word) <= flat, _fold_flat(t, word)).otherwise(_fold_blocks(t, word, block))
+        n, single = F.size(codes) - 2, _tokens(_first_pairs(t, codes, lambda i: i), t["end"])
+        return F.when(n < 2, single).when(n <= flat, _fold_flat(t, codes)).otherwise(_fold_blocks(t, codes, block))
 
     return _let(table, ids)
 
 
 def with_ids(words: DataFrame, ranks: dict[bytes, int], column: str) -> DataFrame:
-    """words: a column of arrays of byte strings; it becomes arrays of (ids: comma-joined figures; bytes: the ids decoded)."""
+    """words: a column of arrays of words' codes; it becomes arrays of (ids: comma-joined figures; bytes: the ids decoded)."""
     table = rank_literal(ranks)
     decoder = piece_literal(ranks)
-    encoded = F.transform(F.col(column), lambda w: _let(fold(w, table), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), decode(ids, decoder).alias("bytes"))))
+    encoded = F.transform(F.col(column), lambda w: _let(fold_codes(w, table), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), decode(ids, decoder).alias("bytes"))))
     return words.withColumn(column, encoded)
 
 
 def decode(ids: Column, pieces: Column) -> Column:
     """binary: the ids' pieces, concatenated; null if an id is unknown. pieces: see piece_literal."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "", "?"))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), "", "?"))
 
 
 class _Numbers(dict):
@@ -266,8 +271,8 @@ class Splitter:
         raw, begins = self.numbers(words), [*begins, len(words)]
         self.units.update((u, raw[4 * a : 4 * b]) for u, a, b in zip(new, begins, begins[1:]))
 
-    def split(self, texts: list) -> tuple[list[bytes], list[str]]:
-        """(word numbers of each text, the words that are new, as byte strings)."""
+    def split(self, texts: list) -> tuple[list[bytes], list[bytes]]:
+        """(word numbers of each text, the words that are new)."""
         bodies = [None if not t or self.irregular(t) else t.split(" ") for t in texts]
         seen: set[str] = set()
         for b in bodies:
@@ -286,7 +291,7 @@ class Splitter:
         fresh, self.known.fresh = self.known.fresh, []
         for u in [u for u in seen if len(u) > 64]:
             del self.units[u]
-        return out, [w.encode().decode("latin-1") for w in fresh]
+        return out, [w.encode() for w in fresh]
 
 
 def _strings(column) -> list[bytes]:
@@ -297,6 +302,22 @@ def _strings(column) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
+def _codes(words: list[bytes]) -> pa.Array:
+    """One row: an array of each word's byte array with both neighbours in one number: 257 * left + right, 256 for an end; before them 257 * 257."""
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([0, *map(len, words)])
+    starts = np.zeros(len(raw) + 1, bool)
+    starts[ends] = True  # where a word begins or the last one ends
+    # Each word takes two places more than it has bytes: the number before it and its last pair.
+    at = np.arange(len(raw)) + 2 * (np.cumsum(starts[:-1]) - 1) + 1
+    right, left = np.full((2, len(raw) + 2 * len(words)), 256, np.int32)
+    right[at], left[at + 1] = raw, raw
+    codes = 257 * left + right
+    ends = ends + 2 * np.arange(len(ends))
+    codes[ends[:-1]] = 257 * 257
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())))
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 400_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), bytes (the decoded ids); digests_only: their SHA-256 in place of the last two."""
     ensure_importable(docs.sparkSession)
@@ -310,7 +331,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 if drop:
                     splitter.clear()
                 numbers, words = splitter.split(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string())), pa.array([drop])], names=["doc_ids", "numbers", "words", "drop"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary())), _codes(words), pa.array([drop])], names=["doc_ids", "numbers", "words", "drop"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of: list[bytes] = []
@@ -346,6 +367,6 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests_only else ("ids", "bytes"))]
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    blocks = rows.mapInArrow(split, "doc_ids array<long>, numbers array<binary>, words array<string>, drop boolean")
+    blocks = rows.mapInArrow(split, "doc_ids array<long>, numbers array<binary>, words array<array<int>>, drop boolean")
     kind = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, bytes binary"
     return with_ids(blocks, ranks, "words").mapInArrow(join, f"doc_id long, n_tokens long, {kind}")
