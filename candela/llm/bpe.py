@@ -11,7 +11,7 @@ A whole table goes through one pass without a shuffle:
 
 1. Words, the matches of the split pattern, are found per batch of documents; a
    batch is one row: its documents as arrays of word numbers and the words that
-   this task has not seen before, as byte arrays.
+   this task has not seen before, as byte arrays (each byte with its left neighbour).
 2. The fold turns each new word's bytes into ids; these ids are decoded.
 3. The next step of the same task keeps the words' ids and decoded bytes and
    concatenates them per document.
