@@ -56,13 +56,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of a plan that neither make a row twice nor take it from two tables.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "RelationV2", "DataSourceV2Relation"}
+
+
+def _row_by_row(docs: DataFrame) -> bool:
+    """Whether docs is a table of files with nothing but deterministic projections and filters over it.
+
+    The hidden file and row columns survive generators, joins and unions, after which they tell rows no more.
+    """
+    todo = [docs._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _ROW_BY_ROW or not node.deterministic():
+            return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return True
+
+
 def located(docs: DataFrame, file: str, row: str) -> DataFrame:
-    """docs with the locator of each row; tables that aren't Parquet files are written to the shared folder first."""
+    """docs with the locator of each row, which no two rows share.
+
+    Anything but a plain table of Parquet files is written to the shared folder first.
+    """
 
     def plain(table: DataFrame) -> DataFrame:
         hidden = table.metadataColumn("_metadata")
         return table.select("*", hidden["file_path"].alias(file), hidden["row_index"].alias(row))
 
+    if not _row_by_row(docs):
+        return plain(stage(docs, "documents"))
     try:
         return plain(docs)
     except AnalysisException:

@@ -124,14 +124,30 @@ def hit_texts(texts: DataFrame, members: DataFrame, bits: int) -> DataFrame:
     return found.select("doc_id", digest_of(F.col("text"), bits).alias("digest"), normalised(F.col("text")).alias("bytes"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"), "_file", "_row")
 
 
+def write_prints(prints: DataFrame, path: str, batches: int) -> DataFrame:
+    """The fingerprints as files of `path`, enough of them for so many micro-batches."""
+    spark = prints.sparkSession
+    prints.write.parquet(path)
+    written = spark.read.schema(PRINTS).parquet(path)
+    # A scan of few tasks writes few files, some of them without rows: these rows are dealt out evenly.
+    if len(written.inputFiles()) < 4 * batches and (n := written.count()):
+        even = path + "-even"
+        written.repartition(min(batches, n)).write.parquet(even)
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        files = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(Path(path), True)
+        files.rename(Path(even), Path(path))
+        written = spark.read.schema(PRINTS).parquet(path)
+    return written
+
+
 def _groups(rows: DataFrame, bits: int, batches: int, state_dir: str | None, earlier=None) -> DataFrame:
     """rows: doc_id, text, _file, _row. earlier: reads such rows from a list of files."""
     spark = rows.sparkSession
     lasting = state_dir is not None
     state_dir = state_dir or work_path(spark, "exact-state")
     run = f"{state_dir}/prints/{uuid.uuid4().hex}"
-    fingerprints(rows, bits).write.parquet(run)
-    prints = spark.read.schema(PRINTS).parquet(run)
+    prints = write_prints(fingerprints(rows, bits), run, batches)
     state = stage(stream_state(spark, state_dir, prints.count(), -(-max(1, len(prints.inputFiles())) // batches)), "exact-digests")
     hits = state.filter("group_size > 1").select("digest")
     everything = spark.read.schema(PRINTS).parquet(f"{state_dir}/prints/*") if lasting else prints
