@@ -84,8 +84,17 @@ def _either_case(pattern: str) -> str:
     return re.sub(r"\(\?i:(.*?)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
 
 
+#: This engine has neither look-behind nor possessive loops: the character before the token is matched along and left out of the span.
+_JWT = r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
+
+
 def op3() -> str:
-    parts = [_spans(r.kind, k, _either_case(r.pattern), r.group, f"length({'g' if r.group else 'm'}) >= {r.least}") for k, r in enumerate([*secrets.BASE, *secrets.MORE])]
+    rules = [*secrets.BASE, *secrets.MORE]
+    parts = [
+        _spans("jwt", k, _JWT, 1, "TRUE").replace("lo, lo + length(m) AS hi", "lo + length(m) - length(g) AS lo, lo + length(m) AS hi") if r.kind == "jwt"
+        else _spans(r.kind, k, _either_case(r.pattern), r.group, f"length({'g' if r.group else 'm'}) >= {r.least}")
+        for k, r in enumerate(rules)
+    ]
     kinds = [r.kind for r in secrets.BASE]
     return _report(parts, kinds, kinds, "lo, place")
 

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -394,3 +395,46 @@ def test_quality_separates_junk(spark):
     kept = {x.doc_id for x in quality.filter_quality(docs, quality.fit(docs, quality.trusted_texts(docs, labels))).collect()}
     base = {d for d, t in rows if not B.op6(t)[5]}
     assert not any(d % 4 == 0 for d in kept) and len(kept) > 0.95 * len([d for d in base if d % 4])
+
+
+def test_every_secret_rule_is_linear(spark):
+    """A megabyte of each rule's own beginnings, without a match that ends it early."""
+    heads = ["eyJ", "password ", "token:", "AKIA", "0123456789abcdef", "ghp_", "xoxb-", "-----BEGIN ", "eyJabcdefgh.", "secret=\"", "api_key" + " " * 50]
+    df = spark.createDataFrame([(k, h * (1_000_000 // len(h))) for k, h in enumerate(heads)], "doc_id long, text string").repartition(len(heads))
+    begun = time.perf_counter()
+    got = {r.doc_id: r.n for r in secrets.find_secrets(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert time.perf_counter() - begun < 60
+    assert got[0] == 0 and got[3] == 1 and got[4] == 1
+
+
+def test_jwt_starts_where_a_run_starts(spark):
+    token = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9
+    df = spark.createDataFrame([(1, f"={token} {token},x{token}"), (2, token)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "jwt"] for r in secrets.find_secrets(df).collect()}
+    assert got == {1: [(1, 1 + len(token)), (2 + len(token), 2 + 2 * len(token))], 2: [(0, len(token))]}
+
+
+def test_exact_groups_of_rows_that_plans_multiply(spark, tmp_path):
+    """Exploded, joined and united rows share file and place; one row of a group stays all the same."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "same text"), (2, "same  text")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    many = {
+        "exploded": docs.select("*", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "joined": docs.crossJoin(spark.range(2)),
+        "united": docs.unionByName(docs),
+    }
+    for df in many.values():
+        groups = exact_dedup.exact_groups(df).collect()
+        assert [r.group_size for r in groups] == [4] * 4 and sum(r.kept for r in groups) == 1
+        assert exact_dedup.deduplicate(df).count() == 1
+        assert len(secrets.find_secrets(df).collect()) == 4
+
+
+def test_exact_state_is_read_back_on_small_tables(spark, tmp_path, table, docs):
+    state = str(tmp_path / "state")
+    exact_dedup.exact_groups(table.coalesce(1), state_dir=state).count()
+    changes = spark.read.schema(exact_dedup.CHANGES).parquet(f"{state}/changes/n=*")
+    batches = {r.batch: r.n for r in changes.groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert len(batches) == 4 and min(batches.values()) > 0
+    assert changes.groupBy("digest").count().filter("count > 1").count() > 0  # entries of earlier batches changed
