@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import shared_dir, stage, work_path  # noqa: F401
+
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -26,36 +26,6 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, path) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session that names none (tests) gets a temporary folder; on a cluster
-    that is an error, as each node would write to a disk of its own.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="candela-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/candela/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at durable files."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Nodes of a plan that neither make a row twice nor take it from two tables.
 _ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "RelationV2", "DataSourceV2Relation"}
 

@@ -56,6 +56,60 @@ WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PR
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][no % 3 + 1] AS w, 2 * ss AS cap FROM s),
+f AS (
+  SELECT *, 1.5::DOUBLE * (sum(ss) OVER ())::DOUBLE - coalesce(sum(cap) OVER o, 0)::DOUBLE AS rest, (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::DOUBLE AS over_, row_number() OVER (ORDER BY cap / w, no) AS r
+  FROM w WINDOW o AS (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT rest, over_ FROM f WHERE w * rest / over_ <= cap ORDER BY r LIMIT 1),
+t AS (SELECT no, source, ss, least(cap::DOUBLE, w * rest / over_) AS target FROM w, v),
+u AS (SELECT *, floor(target)::BIGINT AS take, ss // 1024 AS full_, (ss + 1023) // 1024 AS blocks FROM t),
+x AS (SELECT *, take // greatest(ss, 1) AS passes, take % greatest(ss, 1) AS rest FROM u),
+k AS (SELECT *, rank // blocks AS pass, rank % blocks AS nth FROM (SELECT *, unnest(range(passes * blocks + (rest + 1023) // 1024)) AS rank FROM x)),
+b AS (
+  SELECT no, CASE WHEN nth < full_ THEN ((nth::HUGEINT * (2305843009213693951 % full_) + pass) % full_)::BIGINT ELSE nth END AS block,
+         least(CASE WHEN nth < full_ THEN 1024 ELSE ss - full_ * 1024 END, (CASE WHEN pass < passes THEN ss ELSE rest END) - nth * 1024) AS words FROM k),
+p AS (
+  SELECT row_number() OVER () AS i, doc_id, size, no, ss, target, sum(size) OVER (PARTITION BY no ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT i, no, start, size, unnest(range((start // 1024)::BIGINT, ((start + size - 1) // 1024)::BIGINT + 1)) AS block FROM p WHERE size > 0),
+g AS (SELECT i, sum(greatest(0, least(start + size, block * 1024 + words) - greatest(start, block * 1024)))::BIGINT AS taken FROM q JOIN b USING (no, block) GROUP BY i)
+SELECT doc_id, size, ss AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN g USING (i)
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT d.doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), min(doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+s AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x)),
+o AS (
+  SELECT p.x || q.x || r.x || t.x || u.x AS filter_order FROM s p, s q, s r, s t, s u
+  WHERE p.x NOT IN (q.x, r.x, t.x, u.x) AND q.x NOT IN (r.x, t.x, u.x) AND r.x NOT IN (t.x, u.x) AND t.x <> u.x),
+k AS (SELECT filter_order, step, filter_order[step] AS x, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) v(step)),
+g AS (
+  SELECT part, filter_order, step, x,
+         coalesce(sum(n) FILTER (NOT list_has_any(fails, list_append(before, x))), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (list_contains(fails, x) AND NOT list_has_any(fails, before)), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (list_contains(fails, x) AND list_has_any(fails, before)), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = [x]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (list_contains(fails, x) AND NOT list_has_any(fails, before)), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (list_contains(fails, x) AND NOT list_has_any(fails, before)), 0)::BIGINT AS toxic_lost
+  FROM m, k GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g
+"""
+
+
 def _spans(kind: str, place: int, pattern: str, group: int, test: str) -> str:
     """Rows doc_id, place, kind, lo, hi, m, gap of the matches that pass; gaps and matches add up to the places."""
     p = _literal(pattern)
@@ -122,4 +176,4 @@ def op9() -> str:
     return _report(parts, pii.BASE, pii.BASE, "place, lo")
 
 
-ORACLES = {"op2_chat_formatting": OP2, "op3_secret_scans": op3(), "op5_minhash_near_dedup": OP5, "op9_pii": op9(), "op10_exact_dedup": OP10}
+ORACLES = {"op2_chat_formatting": OP2, "op3_secret_scans": op3(), "op5_minhash_near_dedup": OP5, "op9_pii": op9(), "op10_exact_dedup": OP10, "op11_source_mix": OP11, "op13_filter_audit": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, neardup, packing, pii, quality, secrets, token_counts, token_files
+from . import bpe, chat, exact_dedup, filter_audit, mixing, neardup, packing, pii, quality, secrets, token_counts, token_files
 from . import spans as S
 from .common import read_table
 from .encoding import read_spec
@@ -75,11 +75,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_chat_formatting, op3_secret_scans, op4_bpe, op5_minhash_near_dedup,
         op6_quality_rules, op7_packing, op8_token_files, op9_pii, op10_exact_dedup,
+        op11_source_mix, op13_filter_audit,
     )
 }
 

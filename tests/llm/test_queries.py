@@ -12,7 +12,7 @@ import brute as B
 P = pytest.importorskip("public_tokenizers")
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-from candela.llm import bpe, chat, exact_dedup, neardup, packing, pii, quality, queries, secrets, token_counts, token_files  # noqa: E402
+from candela.llm import bpe, chat, exact_dedup, filter_audit, mixing, neardup, packing, pii, quality, queries, secrets, token_counts, token_files  # noqa: E402
 from candela.llm.encoding import read_spec  # noqa: E402
 
 SPEC = read_spec(P.path("byte_bpe_50k.json"))
@@ -104,6 +104,9 @@ def test_empty_tables(spark, empty):
     assert token_files.read_token_files(spark, token_files.write_token_files(empty, SPEC, 2)).count() == 0
     assert pii.find_pii(empty).count() == 0
     assert exact_dedup.exact_groups(empty).count() == 0
+    assert mixing.mixed_documents(empty).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.filter_interactions(empty, labels).count() == 0
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.join_turns(none)).count() == 0
 
@@ -132,12 +135,12 @@ def test_sql_says_the_same(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, sf).toPandas(), con.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
-        key = "conv_id" if "conv_id" in got else "doc_id"
+        key = ["conv_id"] if "conv_id" in got else ["doc_id"] if "doc_id" in got else ["part", "filter_order", "step"]
         columns = sorted(got.columns)
         a, b = (x[columns].sort_values(key).values.tolist() for x in (got, want))
         assert [(x, y) for x, y in zip(a, b) if x != y] == [] and len(a) == len(b), name
