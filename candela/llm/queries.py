@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, filter_audit, mixing, neardup, packing, pii, quality, secrets, token_counts, token_files
+from . import bpe, chat, exact_dedup, filter_audit, mixing, neardup, packing, pii, quality, secrets, token_counts, token_files, whitening
 from . import spans as S
 from .common import read_table
 from .encoding import read_spec
@@ -79,6 +79,10 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -88,7 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_chat_formatting, op3_secret_scans, op4_bpe, op5_minhash_near_dedup,
         op6_quality_rules, op7_packing, op8_token_files, op9_pii, op10_exact_dedup,
-        op11_source_mix, op13_filter_audit,
+        op11_source_mix, op12_whitening, op13_filter_audit,
     )
 }
 
