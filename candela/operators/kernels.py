@@ -19,6 +19,8 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 
+from .linear import Linear, compose
+
 NAN = float("nan")
 
 
@@ -45,7 +47,7 @@ def smooth(last: float, x: np.ndarray, k: float) -> np.ndarray:
     return out
 
 
-class Ema:
+class Ema(Linear):
     """Exponential mean. Its seed, the mean of bars first .. first + p - 1, is the value of that last bar.
 
     k: 2 / (p + 1) if not given; p = 1 / k makes it Wilder's mean.
@@ -54,8 +56,18 @@ class Ema:
     def __init__(self, p: int, first: int = 0, k: float | None = None):
         self.p, self.first, self.k = p, first, 2.0 / (p + 1) if k is None else k
         self.seed_at = first + p - 1
+        self.warmup = self.seed_at + 1
         self.at, self.total, self.last = 0, 0.0, NAN
 
+    def enter(self, at: int, state: np.ndarray) -> None:
+        self.at, self.last = at, float(state[0])
+
+    def leave(self) -> np.ndarray:
+        return np.array([self.last])
+
+    def step(self) -> np.ndarray:
+        return np.array([[1.0 - self.k]])
+
     def push(self, x: np.ndarray) -> tuple[np.ndarray]:
         out = np.full(len(x), NAN)
         lo, rest = self.first - self.at, 0
@@ -72,11 +84,24 @@ class Ema:
         return (out,)
 
 
-class Chain:
+class Chain(Linear):
     """`count` exponential means, each of the one before; each seeds on its input's first p values. Gives all of them."""
 
     def __init__(self, p: int, count: int, first: int = 0):
         self.parts = [Ema(p, first + j * (p - 1)) for j in range(count)]
+        self.states, self.warmup = count, self.parts[-1].warmup
+
+    def enter(self, at: int, state: np.ndarray) -> None:
+        for part, v in zip(self.parts, state):
+            part.enter(at, [v])
+
+    def leave(self) -> np.ndarray:
+        return np.array([part.last for part in self.parts])
+
+    def step(self) -> np.ndarray:
+        # A mean takes the share k of the one before it, which has moved already.
+        k = self.parts[0].k
+        return np.array([[(1.0 - k) * k ** (j - i) if i <= j else 0.0 for i in range(self.states)] for j in range(self.states)])
 
     def push(self, x: np.ndarray) -> list[np.ndarray]:
         out = []
@@ -86,12 +111,24 @@ class Chain:
         return out
 
 
-class Macd:
+class Macd(Linear):
     """macd, signal, histogram: the fast mean seeds on the last `fast` bars of the slow one's seed."""
 
     def __init__(self, fast: int, slow: int, signal: int, fast_k: float | None = None, slow_k: float | None = None):
         self.fast, self.slow = Ema(fast, slow - fast, fast_k), Ema(slow, 0, slow_k)
         self.signal = Ema(signal, slow - 1)
+        self.states, self.warmup = 3, self.signal.warmup
+
+    def enter(self, at: int, state: np.ndarray) -> None:
+        for part, v in zip((self.fast, self.slow, self.signal), state):
+            part.enter(at, [v])
+
+    def leave(self) -> np.ndarray:
+        return np.array([self.fast.last, self.slow.last, self.signal.last])
+
+    def step(self) -> np.ndarray:
+        f, s, g = 1.0 - self.fast.k, 1.0 - self.slow.k, self.signal.k
+        return np.array([[f, 0.0, 0.0], [0.0, s, 0.0], [g * f, -g * s, 1.0 - g]])
 
     def push(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         line = self.fast.push(x)[0] - self.slow.push(x)[0]
@@ -99,12 +136,21 @@ class Macd:
         return line, signal, line - signal
 
 
-class FromFirst:
+class FromFirst(Linear):
     """Exponential mean that starts at the first bar's value, without a seed mean."""
 
     def __init__(self, p: int):
         self.k, self.last, self.begun = 2.0 / (p + 1), NAN, False
 
+    def enter(self, at: int, state: np.ndarray) -> None:
+        self.last, self.begun = float(state[0]), True
+
+    def leave(self) -> np.ndarray:
+        return np.array([self.last])
+
+    def step(self) -> np.ndarray:
+        return np.array([[1.0 - self.k]])
+
     def push(self, x: np.ndarray) -> tuple[np.ndarray]:
         out = np.empty(len(x))
         skip = 0
@@ -117,11 +163,21 @@ class FromFirst:
         return (out,)
 
 
-class WilderSum:
+class WilderSum(Linear):
     """Wilder's running sum: values 1 .. p - 1 are added up, then s = s - s / p + v. NaN before bar p - 1."""
 
     def __init__(self, p: int):
         self.p, self.at, self.total = p, 0, 0.0
+        self.warmup = p
+
+    def enter(self, at: int, state: np.ndarray) -> None:
+        self.at, self.total = at, float(state[0])
+
+    def leave(self) -> np.ndarray:
+        return np.array([self.total])
+
+    def step(self) -> np.ndarray:
+        return np.array([[1.0 - 1.0 / self.p]])
 
     def push(self, v: np.ndarray) -> tuple[np.ndarray]:
         out = np.full(len(v), NAN)
@@ -140,23 +196,37 @@ class WilderSum:
         return (out,)
 
 
-class Kama:
+class Kama(Linear):
     """y += c (x - y), with the squared smoothing constant c of each bar from its efficiency ratio; y starts at bar p - 1."""
 
     def __init__(self, p: int):
         self.start, self.at, self.y = p - 1, 0, NAN
+        self.warmup = p
+
+    def enter(self, at: int, state: np.ndarray) -> None:
+        self.at, self.y = at, float(state[0])
+
+    def leave(self) -> np.ndarray:
+        return np.array([self.y])
+
+    @staticmethod
+    def constants(ratio: np.ndarray) -> np.ndarray:
+        return (ratio * (2.0 / 3.0 - 2.0 / 31.0) + 2.0 / 31.0) ** 2
+
+    def decay(self, x: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+        return np.array([[np.prod(1.0 - self.constants(ratio))]])
 
     def push(self, x: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray]:
-        out, y = np.full(len(x), NAN), self.y
-        constants = (ratio * (2.0 / 3.0 - 2.0 / 31.0) + 2.0 / 31.0) ** 2
-        for j, (v, c) in enumerate(zip(x.tolist(), constants.tolist())):
-            t = self.at + j
-            if t == self.start:
-                y = v
-            elif t > self.start:
-                y += c * (v - y)
-                out[j] = y
-        self.at, self.y = self.at + len(x), y
+        out = np.full(len(x), NAN)
+        # Bars up to the start have no value; the start's price is the first state.
+        skip = min(len(x), max(0, self.start - self.at + 1))
+        if skip and self.at + skip == self.start + 1:
+            self.y = float(x[skip - 1])
+        if skip < len(x):
+            c = self.constants(ratio[skip:])
+            out[skip:] = compose(1.0 - c, c * x[skip:], self.y)
+            self.y = float(out[-1])
+        self.at += len(x)
         return (out,)
 
 

@@ -159,12 +159,12 @@ def _threshold(f: Frame, bars: tuple, name: str, anchor: int, lookback: int, see
     # Sums begin with the first bar of the window at the first output.
     begin = seed[0] if seed else lookback - anchor - n
     counted = f.add(F.when(f.rn >= begin, F.isnan(x)).otherwise(False))
-    spoiled = F.coalesce(f.lag(f.running(F.max(counted)), anchor + 1), F.lit(False))
+    spoiled = F.coalesce(f.lag(f.running("max", counted), anchor + 1), F.lit(False))
     if seed:
         within = F.when(f.rn.between(*seed), x)
         usual = F.when(f.rn.between(lookback - anchor - n, lookback - anchor - 1), x)
         # Both sums are over the first bars, which every output bar has behind it.
-        behind = f.running(F.sum(F.coalesce(within, F.lit(0.0)))) - f.running(F.sum(F.coalesce(usual, F.lit(0.0))))
+        behind = f.running("sum", F.coalesce(within, F.lit(0.0))) - f.running("sum", F.coalesce(usual, F.lit(0.0)))
         total = total + behind
     return f.add(F.when(spoiled, F.lit(NAN)).otherwise(total * (factor / n)))
 
@@ -232,9 +232,9 @@ def cdlhikkake(f, o, h, l, c):  # noqa: E741
 def cdlhikkakemod(f, o, h, l, c):  # noqa: E741
     """The near threshold's sum keeps the ranges of bars 1 and 2 for good (bars 0 to 2 while it fills)."""
     span = f.add(h - l)
-    early = f.running(F.sum(F.when(f.rn.between(0, 2), span).otherwise(0.0)))
-    first = f.running(F.sum(F.when(f.rn == 0, span).otherwise(0.0)))
-    one = f.running(F.sum(F.when(f.rn == 1, span).otherwise(0.0)))
+    early = f.running("sum", F.when(f.rn.between(0, 2), span).otherwise(0.0))
+    first = f.running("sum", F.when(f.rn == 0, span).otherwise(0.0))
+    one = f.running("sum", F.when(f.rn == 1, span).otherwise(0.0))
     moving = f.add(F.sum(span).over(f.rows(-5, -3)))
     near = F.when(f.rn >= 6, early - first + moving).when(f.rn == 5, early + early - first).when(f.rn == 4, early + one).otherwise(early)
     return f.scan(Maker(K.Hikkake, True, 8), [h, l, c, f.add(near * (0.2 / 5))])[0]

@@ -45,7 +45,7 @@ def t3_of(f, x, p, lookback=0, vfactor=0.7):
 def kama_of(f, x, p, lookback=0):
     move = f.add(F.abs(x - f.lag(x, 1)))
     path = f.add(F.sum(move).over(f.trailing(p)))
-    spoiled = f.running(F.max(F.isnan(F.coalesce(move, F.lit(0.0)))))
+    spoiled = f.running("max", F.isnan(F.coalesce(move, F.lit(0.0))))
     ratio = F.when(spoiled | ~(path > 0) | path.isNull(), F.lit(0.0)).otherwise(F.try_divide(F.abs(x - f.lag(x, p)), path))
     ratio = F.when(F.isnan(ratio) | ratio.isNull(), F.lit(0.0)).otherwise(ratio)
     # The kernel starts at bar p - 1 of what it gets; bars before the input's first value don't count.
@@ -230,7 +230,7 @@ def minus_di(f, h, l, c, period=14):  # noqa: E741
 def _dx(f, h, l, c, p):  # noqa: E741
     """The ratio needs no range, but a NaN range spoils it for good."""
     plus, minus = (_wilder_sum(f, m, p) for m in _movements(f, h, l, True))
-    spoiled = f.running(F.max(F.isnan(F.coalesce(true_range(f, h, l, c), F.lit(0.0)))))
+    spoiled = f.running("max", F.isnan(F.coalesce(true_range(f, h, l, c), F.lit(0.0))))
     return F.when(spoiled, F.lit(NAN)).otherwise(safe_ratio(F.abs(plus - minus) * 100.0, plus + minus))
 
 

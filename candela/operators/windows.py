@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import math as M
@@ -70,10 +70,11 @@ def mavp(f, x, periods, minperiod=2, maxperiod=30):
     window = f.add(F.collect_list(x).over(f.trailing(maxperiod)))
     values = F.slice(window, -n, n)
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    # Bars from which a run of one length, and the last NaN mean, date.
+    counted = f.rn >= maxperiod - 1
     fresh = ~f.lag(n, 1).eqNullSafe(n) | (f.rn == maxperiod - 1)
-    run = f.running(F.sum(F.when((f.rn >= maxperiod - 1) & fresh, 1).otherwise(0)))
-    spec = Window.partitionBy(*f.keys, run).orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
-    spoiled = f.add(F.max(F.isnan(mean)).over(spec))
+    run, nan = f.running("max", F.when(counted & fresh, f.rn)), f.running("max", F.when(counted & F.isnan(mean), f.rn))
+    spoiled = F.coalesce(nan >= run, F.lit(False))
     return f.gate(F.when(n.isNull() | F.isnan(mean) | spoiled, F.lit(NAN)).otherwise(mean), maxperiod - 1)
 
 
@@ -247,7 +248,7 @@ def ultosc(f, h, l, c, period1=7, period2=14, period3=28):  # noqa: E741
     before = f.lag(c, 1)
     floor = F.least(l, before)
     pressure, true = f.add(c - floor), f.add(F.greatest(h, before) - floor)
-    spoiled = f.running(F.max(F.isnan(F.coalesce(pressure + true, F.lit(0.0)))))
+    spoiled = f.running("max", F.isnan(F.coalesce(pressure + true, F.lit(0.0))))
     a = [safe_ratio(f.sum(pressure, p), f.sum(true, p)) for p in (period1, period2, period3)]
     # The first bar has no bar before it.
     return f.gate((a[0] * 4 + a[1] * 2 + a[2]) * 100.0 / 7.0, max(period1, period2, period3), spoiled)
@@ -272,14 +273,14 @@ def ad(f, h, l, c, v):  # noqa: E741
     """Running sum of where the close stands in the bar's range, times volume; bars without range add nothing."""
     span = h - l
     add = F.when(gt(h, l), F.try_divide(c + c - h - l, span) * v).otherwise(0.0)
-    return f.running(F.sum(add))
+    return f.running("sum", add)
 
 
 @indicator("close", "volume", family="volume")
 def obv(f, c, v):
     before = f.lag(c, 1)
     step = F.when(f.rn == 0, v).when(gt(c, before), v).when(gt(before, c), -v).otherwise(0.0)
-    return f.running(F.sum(step))
+    return f.running("sum", step)
 
 
 # --- rolling statistics -----------------------------------------------------------
@@ -293,7 +294,7 @@ def beta(f, x, y, period=5):
     n = float(period)
     below = f.sum(square, period) * n - f.sum(one, period) * f.sum(one, period)
     above = f.sum(both, period) * n - f.sum(one, period) * f.sum(two, period)
-    spoiled = f.running(F.max(F.isnan(F.coalesce(rx + ry, F.lit(0.0)))))
+    spoiled = f.running("max", F.isnan(F.coalesce(rx + ry, F.lit(0.0))))
     return f.gate(safe_ratio(above, below), period, spoiled)
 
 

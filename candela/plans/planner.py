@@ -14,20 +14,23 @@ class Indicators:
 
     Equal intermediate columns are computed once; all windows share one exchange and
     sort, and all recurrences of a layer run in one scan.
+
+    block_bars: cut keys into blocks of so many bars, so that a key is spread over many
+    tasks (see plans.blocks).  For keys that are too long for one task each.
     """
 
-    def __init__(self, df: DataFrame, key: str | list[str] = "key", order: str | list[str] = "ts"):
-        self.df, self.key, self.order = df, key, order
+    def __init__(self, df: DataFrame, key: str | list[str] = "key", order: str | list[str] = "ts", block_bars: int | None = None):
+        self.df, self.key, self.order, self.block_bars = df, key, order, block_bars
         self.specs: dict[str, Spec] = {}
 
     def with_(self, **specs: Spec) -> Indicators:
-        out = Indicators(self.df, self.key, self.order)
+        out = Indicators(self.df, self.key, self.order, self.block_bars)
         out.specs = self.specs | specs
         return out
 
     def frame(self, flat: bool = True, keep: list[str] | None = None) -> DataFrame:
         """df's columns and the outputs. flat: several outputs of a call as name_output columns, else as one struct."""
-        frame, outputs = Frame(self.df, self.key, self.order), {}
+        frame, outputs = Frame(self.df, self.key, self.order, self.block_bars), {}
         for name, spec in self.specs.items():
             made = spec.columns_of(frame)
             if len(made) == 1:
