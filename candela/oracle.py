@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .operators.patterns import OFFSETS, PATTERNS, PENETRATION, THRESHOLDS, rule_sql
 from .queries import UNIT
 
@@ -247,6 +249,91 @@ def pattern(name: str) -> str:
     return simple(f"CASE WHEN rn < {lookback} THEN 0 {cases} ELSE 0 END", 0, [lags | amounts, means or {"none_": "0"}])
 
 
+#: The long series of queries.LONG: a bar per order.
+LINES = """bars AS (
+  SELECT l_orderkey AS ts, arg_min(v, struct_pack(n := l_linenumber, v := v)) AS open, max(v) AS high, min(v) AS low,
+         arg_max(v, struct_pack(n := l_linenumber, v := v)) AS close, count(*)::DOUBLE AS volume
+  FROM (SELECT *, l_extendedprice / 997 AS v FROM lineitem) GROUP BY 1),
+b AS (SELECT *, 'all' AS key, close AS real0, high AS real1, row_number() OVER (ORDER BY ts) - 1 AS rn FROM bars)"""
+
+
+def _decayed(name: str, source: str, x: str, seed: str, at: int, keep: float, share: float) -> str:
+    """CTE name(rn, v): v is `seed` at bar `at`, then v keep + x share, without a recursion.
+
+    A bar's value is the sum of what is left of the inputs before it; inputs of which less than 1e-18 is left don't count.
+    """
+    back = math.ceil(-41.5 / math.log(keep))
+    return f"""{name} AS (
+  SELECT a.rn, CASE WHEN a.rn >= {at} THEN (SELECT {seed} FROM {source}) * pow({keep!r}, a.rn - {at}) + coalesce(sum(z.x * {share!r} * pow({keep!r}, a.rn - z.rn)), 0) END AS v
+  FROM {source} a CROSS JOIN range({back}) o(j) LEFT JOIN (SELECT rn, {x} AS x FROM {source} WHERE rn > {at}) z ON z.rn = a.rn - o.j GROUP BY a.rn)"""
+
+
+def _long_mean(name: str, source: str, x: str, p: int, first: int = 0, k: float | None = None) -> str:
+    k, at = 2.0 / (p + 1) if k is None else k, first + p - 1
+    return _decayed(name, source, x, f"avg({x}) FILTER (rn BETWEEN {first} AND {at})", at, 1 - k, k)
+
+
+def _long(ctes: list[str], values: dict[str, tuple[str, int]], tables: list[str]) -> str:
+    """values: column -> (expression, lookback). tables: what is joined by rn to the bars with their windows, w."""
+    columns = ", ".join(f"round(CASE WHEN w.rn >= {n} THEN {e} END, 6) + 0.0 AS {c}" for c, (e, n) in values.items())
+    joins = " ".join(f"JOIN {t} USING (rn)" for t in tables)
+    return f"WITH {', '.join([LINES, *ctes])} SELECT w.rn AS rn, {columns} FROM w {joins}"
+
+
+def _long_layers(*layers: dict[str, str]) -> list[str]:
+    """CTEs l0, l1, ... of columns added to the bars; the last one is w."""
+    names = ["b", *(f"l{k}" for k in range(len(layers) - 1)), "w"]
+    return [f"{new} AS (SELECT *, {', '.join(f'({e})::DOUBLE AS {c}' for c, e in layer.items())} FROM {old})" for layer, old, new in zip(layers, names, names[1:])]
+
+
+def long_sql() -> dict[str, str]:
+    out = {}
+    weights = " + ".join(f"{20 - k} * {_lag('close', k) if k else 'close'}" for k in range(20))
+    layers = _long_layers(
+        {
+            "sma": f"avg(close) {_w(20)}", "wma": f"({weights}) / 210.0", "s8": f"sum(close) {_w(8)}", "stddev": f"stddev_pop(close) {_w(5)}", "mom": f"close - {_lag('close', 10)}", "max": f"max(close) {_w(30)}",
+            "hh": f"max(high) {_w(14)}", "ll": f"min(low) {_w(14)}", "tp": "(high + low + close) / 3", "cov": f"covar_pop(real0, real1) {_w(30)}", "sd": f"stddev_pop(real0) {_w(30)} * stddev_pop(real1) {_w(30)}",
+            "lr": f"avg(close) {_w(14)} + 6.5 * {_slope(14)}", "h5": f"max(high) {_w(5)}", "l5": f"min(low) {_w(5)}",
+        },
+        {"trima": f"sum(s8) {_w(7)} / 56.0", "m": f"avg(tp) {_w(20)}", "k": "CASE WHEN rn < 4 THEN NULL WHEN h5 = l5 THEN 0 ELSE 100 * (close - l5) / (h5 - l5) END"},
+        {"dev": "(" + " + ".join(f"abs({_lag('tp', k) if k else 'tp'} - m)" for k in range(20)) + ") / 20", "slow": f"CASE WHEN rn < 6 THEN NULL ELSE avg(k) {_w(3)} END"},
+        {"slowd": f"avg(slow) {_w(3)}"},
+    )
+    out["long_windows"] = _long(layers, {
+        "sma": ("sma", 19), "wma": ("wma", 19), "trima": ("trima", 13), "stddev": ("stddev", 4), "mom": ("mom", 10), "max": ("max", 29), "willr": ("CASE WHEN hh = ll THEN 0 ELSE -100 * (hh - close) / (hh - ll) END", 13),
+        "cci": ("CASE WHEN dev = 0 THEN 0 ELSE (tp - m) / (0.015 * dev) END", 19), "correl": ("CASE WHEN sd = 0 THEN 0 ELSE cov / sd END", 29), "linearreg": ("lr", 13), "stoch_slowk": ("slow", 8), "stoch_slowd": ("slowd", 8)}, [])
+    ratio = lambda p: f"CASE WHEN sum(range) {_w(p)} = 0 THEN 0 ELSE sum(bp) {_w(p)} / sum(range) {_w(p)} END"
+    money = "CASE WHEN high > low THEN (2 * close - high - low) / (high - low) * volume ELSE 0 END"
+    running = _long_layers(
+        {"pc": _lag("close"), "ad": f"sum({money}) {_ALL}"},
+        {"step": "CASE WHEN pc IS NULL THEN volume WHEN close > pc THEN volume WHEN close < pc THEN -volume ELSE 0 END", "bp": "close - least(low, pc)", "range": "greatest(high, pc) - least(low, pc)"},
+        {"bp": "CASE WHEN pc IS NOT NULL THEN bp END", "range": "CASE WHEN pc IS NOT NULL THEN range END"},
+        {"obv": f"sum(step) {_ALL}", **{f"r{p}": ratio(p) for p in (7, 14, 28)}, "mean": f"avg(close) {_w(20)}", "sd": f"stddev_pop(close) {_w(20)}"},
+    )
+    running[2] = running[2].replace("SELECT *,", "SELECT * EXCLUDE (bp, range),")
+    out["long_running"] = _long(running, {"obv": ("obv", 0), "ad": ("ad", 0), "ultosc": ("100 * (4 * r7 + 2 * r14 + r28) / 7", 28), "bbands_upper": ("mean + 2 * sd", 19), "bbands_middle": ("mean", 19), "bbands_lower": ("mean - 2 * sd", 19)}, [])
+    bars_ = ["w AS (SELECT * FROM b)"]
+    means = [*bars_, *(_long_mean(f"d{j + 1}", f"d{j}" if j else "b", "v" if j else "close", 20, 19 * j) for j in range(3)), *(_long_mean(f"t{j + 1}", f"t{j}" if j else "b", "v" if j else "close", 5, 4 * j) for j in range(6)), f"x AS (SELECT rn, {_lag('v').replace('PARTITION BY key ', '')} AS v FROM t3)"]
+    v = 0.7
+    t3 = f"{-(v**3)!r} * t6.v + {3 * v**2 + 3 * v**3!r} * t5.v + {-6 * v**2 - 3 * v - 3 * v**3!r} * t4.v + {1 + 3 * v + v**3 + 3 * v**2!r} * t3.v"
+    out["long_means"] = _long(means, {"ema": ("d1.v", 19), "dema": ("2 * d1.v - d2.v", 38), "tema": ("3 * d1.v - 3 * d2.v + d3.v", 57), "t3": (t3, 24), "trix": ("CASE WHEN x.v = 0 THEN 0 ELSE 100 * (t3.v - x.v) / x.v END", 13)}, [*(f"d{j}" for j in (1, 2, 3)), *(f"t{j}" for j in range(1, 7)), "x"])
+    moves = _long_layers(*_MOVES[:1], _MOVES[1] | {"d": f"close - {_lag('close')}", "ad": f"sum({money}) {_ALL}"}, {"gain": "greatest(d, 0)", "loss": "greatest(-d, 0)"})
+    total = lambda n, x: _decayed(n, "w", x, f"sum({x}) FILTER (rn BETWEEN 1 AND 13)", 13, 1 - 1 / 14, 1.0)
+    plain = lambda n, p: _decayed(n, "w", "ad", "max(ad) FILTER (rn = 0)", 0, 1 - 2 / (p + 1), 2 / (p + 1))
+    momentum = [
+        *moves, _long_mean("f", "w", "close", 12, 14), _long_mean("s", "w", "close", 26), "line AS (SELECT f.rn AS rn, f.v - s.v AS m FROM f JOIN s USING (rn))", _long_mean("g", "line", "m", 9, 25),
+        _long_mean("up", "w", "gain", 14, 1, 1 / 14), _long_mean("dn", "w", "loss", 14, 1, 1 / 14), _long_mean("tr", "w", "tr", 14, 1, 1 / 14).replace("tr AS (", "atr AS (", 1), total("ps", "pdm"), total("ms", "mdm"),
+        "dx AS (SELECT ps.rn AS rn, CASE WHEN ps.v + ms.v = 0 THEN 0 ELSE 100 * abs(ps.v - ms.v) / (ps.v + ms.v) END AS x FROM ps JOIN ms USING (rn))", _long_mean("adx", "dx", "x", 14, 14, 1 / 14), plain("fast", 3), plain("slow", 10),
+    ]
+    out["long_momentum"] = _long(momentum, {
+        "macd_macd": ("line.m", 33), "macd_signal": ("g.v", 33), "macd_hist": ("line.m - g.v", 33), "rsi": ("CASE WHEN up.v = 0 THEN 0 WHEN dn.v = 0 THEN 100 ELSE 100 - 100 / (1 + up.v / dn.v) END", 14), "atr": ("atr.v", 14),
+        "adx": ("adx.v", 27), "adosc": ("fast.v - slow.v", 9)}, ["line", "g", "up", "dn", "atr", "adx", "fast", "slow"])
+    names = ("cdlengulfing", "cdldoji", "cdlharami", "cdl3outside", "cdlmorningstar", "cdlmatchinglow")
+    parts = [f"{n} AS (SELECT rn, value AS {n} FROM ({pattern(n).replace(BARS, LINES)}))" for n in names]
+    out["long_patterns"] = f"WITH {', '.join(parts)} SELECT rn, {', '.join(names)} FROM {names[0]} " + " ".join(f"JOIN {n} USING (rn)" for n in names[1:])
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     c, d = "close", "close"
     out = {n: simple(f"{n}(unit)") for n in UNIT}
@@ -350,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: pattern(n) for n in PATTERNS}
     out |= {"cdlhikkake": _hikkake(False), "cdlhikkakemod": _hikkake(True)}
     out["vwap"] = simple(f"sum(p) {_w(14)} / sum(volume) {_w(14)}", 13, [{"p": "(high + low + close) / 3 * volume"}])
-    return out
+    return out | long_sql()
 
 
 def _after(sql: str, steps: list[dict[str, str]], values: dict[str, str], lookback: int) -> str:

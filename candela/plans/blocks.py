@@ -58,9 +58,17 @@ def _cols(names: list[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
-def blocked(df: DataFrame, keys: list[str], order: list[str], size: int) -> DataFrame:
-    """df with the bar's index in its key and its block."""
-    return positioned(df, keys, order, BAR, name="bars").withColumn(BLOCK, F.expr(f"{BAR} div {size}"))
+#: Bars of a block that is chosen by the table: some blocks a task, in these bounds.
+LEAST_BARS, MOST_BARS = 4096, 1 << 20
+
+
+def blocked(df: DataFrame, keys: list[str], order: list[str], least: int, by_table: bool = False) -> tuple[DataFrame, int]:
+    """df with the bar's index in its key and its block, and the block's bars: `least`, or more by the table."""
+    df, size = positioned(df, keys, order, BAR, name="bars"), least
+    if by_table:
+        tasks = 4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        size = max(least, min(MOST_BARS, max(LEAST_BARS, df.count() // tasks)))
+    return df.withColumn(BLOCK, F.expr(f"{BAR} div {size}")), size
 
 
 def with_halo(df: DataFrame, size: int, halo: int) -> DataFrame:

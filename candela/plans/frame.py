@@ -35,9 +35,10 @@ class Frame:
     """df with a key and an order. order: columns that order a key's bars without ties.
 
     block_bars: bars of a block, if keys are too long for one task; more if windows or seeds need more.
+    "auto": by the number of bars and of tasks.
     """
 
-    def __init__(self, df: DataFrame, key: str | list[str], order: str | list[str], block_bars: int | None = None):
+    def __init__(self, df: DataFrame, key: str | list[str], order: str | list[str], block_bars: int | str | None = None):
         self.df, self.block_bars = df, block_bars
         self.keys = [key] if isinstance(key, str) else list(key)
         self.order = [order] if isinstance(order, str) else list(order)
@@ -156,12 +157,13 @@ class Frame:
                 behind = max((back[n] for n in _TEMP.findall(text) if self._stage[n] == stage and n in back), default=0)
                 back[name] = behind + B.reach(text)
                 halo[stage] = max(halo.get(stage, 0), back[name])
+        asked = 1 if self.block_bars == "auto" else self.block_bars
         warm = [scan[1]().warmup for scans in self._scans.values() for scan in scans if B.is_linear(scan)]
-        return max([self.block_bars, *(h + 1 for h in halo.values()), *(w + 1 for w in warm)]), halo
+        return max([asked, *(h + 1 for h in halo.values()), *(w + 1 for w in warm)]), halo
 
     def _build_blocks(self, outputs: dict[str, Column], kept: list[str]) -> DataFrame:
         size, halo = self._block_size()
-        df = B.blocked(self.df, self.keys, self.order, size)
+        df, size = B.blocked(self.df, self.keys, self.order, size, self.block_bars == "auto")
         for stage in range(1 + max([*(s for s, _ in self._exprs), *self._scans, *self._runs], default=-1)):
             layers = [self._exprs[at] for at in sorted(self._exprs) if at[0] == stage]
             windows = any(B.has_window(str(e)) for layer in layers for _, e in layer)

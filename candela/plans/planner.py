@@ -16,10 +16,10 @@ class Indicators:
     sort, and all recurrences of a layer run in one scan.
 
     block_bars: cut keys into blocks of so many bars, so that a key is spread over many
-    tasks (see plans.blocks).  For keys that are too long for one task each.
+    tasks (see plans.blocks), or "auto".  For keys that are too long for one task each.
     """
 
-    def __init__(self, df: DataFrame, key: str | list[str] = "key", order: str | list[str] = "ts", block_bars: int | None = None):
+    def __init__(self, df: DataFrame, key: str | list[str] = "key", order: str | list[str] = "ts", block_bars: int | str | None = None):
         self.df, self.key, self.order, self.block_bars = df, key, order, block_bars
         self.specs: dict[str, Spec] = {}
 

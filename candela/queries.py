@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import ta
 from .plans.planner import Indicators
 from .plans.registry import INDICATORS
-from .sources.bars import event_bars
+from .sources.bars import event_bars, line_bars
 
 #: Indicators whose input must lie in (-1, 1) or shouldn't be large.
 UNIT = ["acos", "asin", "atan", "cos", "cosh", "exp", "sin", "sinh", "tan", "tanh"]
@@ -73,5 +73,28 @@ def vwap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.col("v").isNotNull() & ~F.isnan("v")).select("key", F.col("rn").cast("long").alias("rn"), rounded(F.col("v")).alias("value"))
 
 
+#: Queries over one long series, cut into time blocks: indicators of each class, with what they are called.
+LONG = {
+    "long_windows": lambda: {
+        "sma": ta.sma(), "wma": ta.wma(), "trima": ta.trima(), "stddev": ta.stddev(), "mom": ta.mom(), "max": ta.max(), "willr": ta.willr(), "cci": ta.cci(), "correl": ta.correl(), "linearreg": ta.linearreg(), "stoch": ta.stoch(),
+    },
+    "long_running": lambda: {"obv": ta.obv(), "ad": ta.ad(), "ultosc": ta.ultosc(), "bbands": ta.bbands()},
+    "long_means": lambda: {"ema": ta.ema(), "dema": ta.dema(), "tema": ta.tema(), "t3": ta.t3(), "trix": ta.trix()},
+    "long_momentum": lambda: {"macd": ta.macd(), "rsi": ta.rsi(), "atr": ta.atr(), "adx": ta.adx(), "adosc": ta.adosc()},
+    "long_patterns": lambda: {n: getattr(ta, n)() for n in ("cdlengulfing", "cdldoji", "cdlharami", "cdl3outside", "cdlmorningstar", "cdlmatchinglow")},
+}
+
+
+def long_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All bars of the series: index and indicators, NULL where they have no value."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars_ = line_bars(spark, sf_dir).select("*", F.col("close").alias("real0"), F.col("high").alias("real1"))
+        out = Indicators(bars_, "key", "ts", block_bars="auto").with_(rn=_index(), **LONG[name]()).frame(keep=[])
+        return out.select(F.col("rn").cast("long").alias("rn"), *(rounded(F.col(f"`{c}`")).alias(c) for c in out.columns if c != "rn"))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query(name) for name in ta.names()} | {"vwap": vwap_query}
+    return {name: query(name) for name in ta.names()} | {"vwap": vwap_query} | {name: long_query(name) for name in LONG}

@@ -33,3 +33,17 @@ def event_bars(spark: SparkSession, sf_dir: str, unit: str = "hour", key: str =
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority", "o_orderdate", "o_totalprice", "day", ["o_orderkey"])
+
+
+def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series: a bar per order, of its lines' prices; volume counts the lines.
+
+    Prices are over 997: means of values with two decimals would end in a five where they are rounded.
+    """
+    value = F.col("l_extendedprice") / 997
+    at = F.struct("l_linenumber", value)
+    return (
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        .groupBy(F.lit("all").alias("key"), F.col("l_orderkey").alias("ts"))
+        .agg(F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.count("*").cast("double").alias("volume"))
+    )
