@@ -215,13 +215,13 @@ def _block_scan(df: DataFrame, keys: list[str], size: int, scans: list[Scan]) ->
     return df.mapInArrow(run, schema)
 
 
-def barrier(df: DataFrame, keys: list[str], size: int, scans: list[Scan], runs: list[tuple[str, str, str]]) -> DataFrame:
-    """df with the columns of scans and runs. df: bars without halo."""
+def barrier(df: DataFrame, keys: list[str], size: int, scans: list[Scan], runs: list[tuple[str, str, str]], written: bool = False) -> DataFrame:
+    """df with the columns of scans and runs. df: bars without halo; written: it is hardly more than a table in the shared folder."""
     share_code(df.sparkSession)
     linear, others = [s for s in scans if is_linear(s)], [s for s in scans if not is_linear(s)]
     by = [*keys, BLOCK]
     if linear or runs:
-        df = stage(df, "bars")
+        df = df if written else stage(df, "bars")
         known = None
         if runs:
             known = _running_before(df, keys, runs)

@@ -163,7 +163,9 @@ class Frame:
 
     def _build_blocks(self, outputs: dict[str, Column], kept: list[str]) -> DataFrame:
         size, halo = self._block_size()
-        df, size = B.blocked(self.df, self.keys, self.order, size, self.block_bars == "auto")
+        # Written to the shared folder: with the columns that anything names, which a scan would prune to.
+        df = self.df.select(*(F.col(f"`{c}`") for c in self._live(-1, self.df.columns, outputs, [*kept, *self.keys, *self.order])))
+        df, size = B.blocked(df, self.keys, self.order, size, self.block_bars == "auto")
         for stage in range(1 + max([*(s for s, _ in self._exprs), *self._scans, *self._runs], default=-1)):
             layers = [self._exprs[at] for at in sorted(self._exprs) if at[0] == stage]
             windows = any(B.has_window(str(e)) for layer in layers for _, e in layer)
@@ -176,7 +178,7 @@ class Frame:
             scans, runs = self._scans.get(stage, []), self._runs.get(stage, [])
             if scans or runs:
                 live = self._live(stage, df.columns, outputs, [*kept, *self.keys, *self.order, B.BAR, B.BLOCK])
-                df = B.barrier(df.select(*(F.col(f"`{c}`") for c in live)), self.keys, size, scans, runs)
+                df = B.barrier(df.select(*(F.col(f"`{c}`") for c in live)), self.keys, size, scans, runs, written=stage == 0 and not windows)
         return df.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in outputs.items()))
 
     def build(self, outputs: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
