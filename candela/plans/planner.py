@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frame import Frame
@@ -28,8 +28,8 @@ class Indicators:
         out.specs = self.specs | specs
         return out
 
-    def frame(self, flat: bool = True, keep: list[str] | None = None) -> DataFrame:
-        """df's columns and the outputs. flat: several outputs of a call as name_output columns, else as one struct."""
+    def planned(self, flat: bool = True) -> tuple[Frame, dict[str, Column]]:
+        """The frame with all that the outputs need, and the outputs."""
         frame, outputs = Frame(self.df, self.key, self.order, self.block_bars), {}
         for name, spec in self.specs.items():
             made = spec.columns_of(frame)
@@ -39,6 +39,11 @@ class Indicators:
                 outputs |= {f"{name}_{k}": c for k, c in made.items()}
             else:
                 outputs[name] = F.struct(*(c.alias(k) for k, c in made.items()))
+        return frame, outputs
+
+    def frame(self, flat: bool = True, keep: list[str] | None = None) -> DataFrame:
+        """df's columns and the outputs. flat: several outputs of a call as name_output columns, else as one struct."""
+        frame, outputs = self.planned(flat)
         return frame.build(outputs, keep)
 
 
