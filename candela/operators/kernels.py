@@ -480,39 +480,6 @@ class Mama:
         return tuple(out)
 
 
-class Extremum:
-    """Rolling extremum with its bar, exact on NaN: a window that is looked through anew starts from its oldest bar.
-
-    latest: of equal values the latest bar counts (else the earliest). Gives value and index.
-    """
-
-    def __init__(self, p: int, largest: bool, latest: bool = False):
-        self.p, self.sign, self.latest = p, 1.0 if largest else -1.0, latest
-        self.ring: deque = deque(maxlen=p)
-        self.at, self.best, self.where = 0, NAN, -1
-
-    def _beats(self, a: float, b: float) -> bool:
-        return a >= b if self.latest else a > b
-
-    def push(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.full((2, len(x)), NAN)
-        for j, v in enumerate((self.sign * x).tolist()):
-            self.ring.append(v)
-            t, self.at = self.at, self.at + 1
-            oldest = t - self.p + 1
-            if oldest < 0:
-                continue
-            if self.where < oldest or math.isnan(self.best):
-                self.best, self.where = self.ring[0], oldest
-                for k, w in enumerate(self.ring):
-                    if k and self._beats(w, self.best):
-                        self.best, self.where = w, oldest + k
-            elif self._beats(v, self.best):
-                self.best, self.where = v, t
-            out[:, j] = self.sign * self.best, self.where
-        return tuple(out)
-
-
 class Hikkake:
     """A false breakout of an inside bar and its confirmation within three bars.
 

@@ -145,14 +145,41 @@ def _index(f: Frame, x: Column, p: int, largest: bool, latest: bool) -> Column:
     return f.add(pick.over(f.trailing(p))).cast("double")
 
 
+def _extremum(f: Frame, x: Column, p: int, largest: bool, latest: bool = False, exact_nan: bool = False) -> tuple[Column, Column]:
+    """Value and index of the window's extremum.
+
+    exact_nan: as a scan finds it that looks through the window anew, from its oldest bar on,
+    only when the last extremum has left it, and otherwise looks at the newest bar alone.
+    A NaN never beats a number, but a search that begins at one ends with it: the value is
+    NaN, and the index the oldest bar's, from a search with a NaN at the oldest bar until a
+    number is there.  Else NaN is the largest value, as it is in Spark.
+    """
+    if not exact_nan:
+        return (f.highest(x, p) if largest else f.lowest(x, p)), _index(f, x, p, largest, latest)
+    y, rn = f.add(finite_or_null(x)), f.rn
+    best = f.highest(y, p) if largest else f.lowest(y, p)
+    # Bars without a number are no candidates: a null in the struct would count.
+    by = F.when(y.isNotNull(), F.struct(y, rn if largest == latest else -rn))
+    pick = F.max_by(rn, by) if largest else F.min_by(rn, by)
+    where = f.add(pick.over(f.trailing(p)))
+    oldest = rn - (p - 1)
+    begins_nan = f.add(F.isnan(f.lag(x, p - 1)))
+    searched = F.coalesce(f.lag(where, 1) < oldest, F.lit(True)) | (oldest == 0)
+    # The last bar with a number at its oldest bar, and the last search.
+    sound = f.running("max", F.when((oldest >= 0) & ~begins_nan, rn))
+    search = f.running("max", F.when((oldest >= 0) & searched, rn))
+    spoiled = f.add(F.coalesce(search > F.coalesce(sound, F.lit(-1)), F.lit(False)) & F.coalesce(begins_nan, F.lit(False)))
+    return F.when(spoiled, F.lit(NAN)).otherwise(best), F.when(spoiled, oldest).otherwise(where).cast("double")
+
+
 @indicator("close", family="math_ops", name="max")
-def max_(f, x, period=30):
-    return f.gate(f.highest(x, period), period - 1)
+def max_(f, x, period=30, exact_nan=False):
+    return f.gate(_extremum(f, x, period, True, exact_nan=exact_nan)[0], period - 1)
 
 
 @indicator("close", family="math_ops", name="min")
-def min_(f, x, period=30):
-    return f.gate(f.lowest(x, period), period - 1)
+def min_(f, x, period=30, exact_nan=False):
+    return f.gate(_extremum(f, x, period, False, exact_nan=exact_nan)[0], period - 1)
 
 
 @indicator("close", family="math_ops", name="sum")
@@ -161,66 +188,70 @@ def sum_(f, x, period=30):
 
 
 @indicator("close", family="math_ops")
-def maxindex(f, x, period=30):
-    return f.gate(_index(f, x, period, True, False), period - 1)
+def maxindex(f, x, period=30, exact_nan=False):
+    return f.gate(_extremum(f, x, period, True, exact_nan=exact_nan)[1], period - 1)
 
 
 @indicator("close", family="math_ops")
-def minindex(f, x, period=30):
-    return f.gate(_index(f, x, period, False, False), period - 1)
+def minindex(f, x, period=30, exact_nan=False):
+    return f.gate(_extremum(f, x, period, False, exact_nan=exact_nan)[1], period - 1)
 
 
 @indicator("close", outputs=("min", "max"), family="math_ops")
-def minmax(f, x, period=30):
-    return min_(f, x, period), max_(f, x, period)
+def minmax(f, x, period=30, exact_nan=False):
+    return min_(f, x, period, exact_nan), max_(f, x, period, exact_nan)
 
 
 @indicator("close", outputs=("min_idx", "max_idx"), family="math_ops")
-def minmaxindex(f, x, period=30):
-    return minindex(f, x, period), maxindex(f, x, period)
+def minmaxindex(f, x, period=30, exact_nan=False):
+    return minindex(f, x, period, exact_nan), maxindex(f, x, period, exact_nan)
 
 
 @indicator("high", "low", outputs=("up", "down"), family="oscillator")
-def aroon(f, h, l, period=14):  # noqa: E741
-    since = lambda c, largest: (period - (f.rn - _index(f, c, period + 1, largest, True))) * 100.0 / period
+def aroon(f, h, l, period=14, exact_nan=False):  # noqa: E741
+    since = lambda c, largest: (period - (f.rn - _extremum(f, c, period + 1, largest, True, exact_nan)[1])) * 100.0 / period
     return f.gate(since(h, True), period), f.gate(since(l, False), period)
 
 
 @indicator("high", "low", family="oscillator")
-def aroonosc(f, h, l, period=14):  # noqa: E741
-    up, down = aroon(f, h, l, period)
+def aroonosc(f, h, l, period=14, exact_nan=False):  # noqa: E741
+    up, down = aroon(f, h, l, period, exact_nan)
     return up - down
 
 
 _EPS = 2.220446049250313e-16
 
 
-def _raw_k(f: Frame, h: Column, l: Column, c: Column, p: int) -> Column:  # noqa: E741
-    top, bottom = f.highest(h, p), f.lowest(l, p)
-    return F.when(F.abs(top - bottom) < _EPS, F.lit(0.0)).otherwise(ieee_div(c - bottom, top - bottom) * 100.0)
+def _place_in_range(f: Frame, h: Column, l: Column, c: Column, p: int, exact_nan: bool, formula) -> Column:  # noqa: E741
+    """formula(top, bottom) over the window's range; 0 where there is none."""
+    top, bottom = (_extremum(f, x, p, largest, exact_nan=exact_nan)[0] for x, largest in ((h, True), (l, False)))
+    value = F.when(F.abs(top - bottom) < _EPS, F.lit(0.0)).otherwise(formula(top, bottom))
+    return F.when(F.isnan(c), F.lit(NAN)).otherwise(value) if exact_nan else value
+
+
+def _raw_k(f: Frame, h: Column, l: Column, c: Column, p: int, exact_nan: bool = False) -> Column:  # noqa: E741
+    return _place_in_range(f, h, l, c, p, exact_nan, lambda top, bottom: ieee_div(c - bottom, top - bottom) * 100.0)
 
 
 @indicator("high", "low", "close", outputs=("slowk", "slowd"), family="oscillator")
-def stoch(f, h, l, c, fastk_period=5, slowk_period=3, slowd_period=3):  # noqa: E741
+def stoch(f, h, l, c, fastk_period=5, slowk_period=3, slowd_period=3, exact_nan=False):  # noqa: E741
     start = fastk_period - 1
-    k = f.add(f.gate(_raw_k(f, h, l, c, fastk_period), start))
+    k = f.add(f.gate(_raw_k(f, h, l, c, fastk_period, exact_nan), start))
     slow = f.add(sma_of(f, k, slowk_period, start))
     lookback = start + slowk_period + slowd_period - 2
     return f.gate(slow, lookback), sma_of(f, slow, slowd_period, start + slowk_period - 1)
 
 
 @indicator("high", "low", "close", outputs=("fastk", "fastd"), family="oscillator")
-def stochf(f, h, l, c, fastk_period=5, fastd_period=3, lookback=0):  # noqa: E741
+def stochf(f, h, l, c, fastk_period=5, fastd_period=3, lookback=0, exact_nan=False):  # noqa: E741
     start = lookback + fastk_period - 1
-    k = f.add(f.gate(_raw_k(f, h, l, c, fastk_period), start))
+    k = f.add(f.gate(_raw_k(f, h, l, c, fastk_period, exact_nan), start))
     return f.gate(k, start + fastd_period - 1), sma_of(f, k, fastd_period, start)
 
 
 @indicator("high", "low", "close", family="oscillator")
-def willr(f, h, l, c, period=14):  # noqa: E741
-    top, bottom = f.highest(h, period), f.lowest(l, period)
-    value = F.when(F.abs(top - bottom) < _EPS, F.lit(0.0)).otherwise(ieee_div(top - c, top - bottom) * -100.0)
-    return f.gate(value, period - 1)
+def willr(f, h, l, c, period=14, exact_nan=False):  # noqa: E741
+    return f.gate(_place_in_range(f, h, l, c, period, exact_nan, lambda top, bottom: ieee_div(top - c, top - bottom) * -100.0), period - 1)
 
 
 @indicator("high", "low", "close", family="oscillator")

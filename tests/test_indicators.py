@@ -83,16 +83,36 @@ def test_nulls_count_as_nan_and_empty_tables(spark):
     assert math.isnan(out[5].y) and out[6].y == 2.0
 
 
-@pytest.mark.parametrize("largest, latest", [(True, False), (False, False), (True, True), (False, True)])
-def test_extremum_kernel_is_exact_on_nan(largest, latest):
-    r = np.random.default_rng(3)
-    for _ in range(60):
-        x = r.integers(0, 6, 50).astype(float)
-        x[r.random(50) < 0.25] = np.nan
-        got = K.Extremum(6, largest, latest)
-        parts = [got.push(c) for c in np.split(x, [7, 8, 30])]
-        want = N.extremum(x.tolist(), 6, largest, latest)
-        same(np.concatenate([p[0] for p in parts]).tolist(), [v for v, _ in want])
+@pytest.mark.parametrize("block", [None, 16])
+def test_extrema_follow_the_search_on_nan(spark, block):
+    """By position, over many series full of NaNs and ties."""
+    r = np.random.default_rng(5)
+    frames = []
+    for k in range(60):
+        x = r.integers(0, 6, (3, 50)).astype(float)
+        x[r.random((3, 50)) < (0.1, 0.25, 0.5)[k % 3]] = np.nan
+        frames.append(pd.DataFrame({"key": k, "rn": np.arange(50), "high": x[0], "low": x[1], "close": x[2]}))
+    table = spark.createDataFrame(pd.concat(frames).sample(frac=1, random_state=1))
+    exact = dict(period=6, exact_nan=True)
+    specs = dict(mx=ta.max(**exact), mn=ta.min(**exact), mm=ta.minmax(**exact), at=ta.minmaxindex(**exact), aroon=ta.aroon(period=5, exact_nan=True), willr=ta.willr(**exact), k=ta.stochf(fastk_period=6, fastd_period=1, exact_nan=True))
+    out = Indicators(table, "key", "rn", block_bars=block).with_(**specs).frame().toPandas()
+    for k, f in enumerate(frames):
+        got = out[out.key == k].sort_values("rn").reset_index(drop=True)
+        find = lambda c, *how: N.extremum(f[c].tolist(), 6, *how)  # noqa: B023, E731
+        top, bottom = find("close", True, False), find("close", False, False)
+        same(got.mx.tolist(), [v for v, _ in top])
+        same(got.mm_min.tolist(), [v for v, _ in bottom])
+        same(got.at_max_idx.tolist(), [i for _, i in top])
+        same(got.at_min_idx.tolist(), [i for _, i in bottom])
+        since = lambda found: [None if i is None else (5 - (t - i)) * 20.0 for t, (_, i) in enumerate(found)]
+        same(got.aroon_up.tolist(), since(find("high", True, True)))
+        same(got.aroon_down.tolist(), since(find("low", False, True)))
+        ends = list(zip(find("high", True, False), find("low", False, False), f.close))
+        place = lambda formula: [None if h[0] is None else math.nan if math.isnan(h[0] + l[0] + c) else 0.0 if h[0] == l[0] else formula(h[0], l[0], c) for h, l, c in ends]
+        same(got.willr.tolist(), place(lambda h, l, c: (h - c) / (h - l) * -100))  # noqa: E741
+        # The mean over one bar keeps a NaN for good.
+        raw = place(lambda h, l, c: (c - l) / (h - l) * 100)  # noqa: E741
+        same(got.k_fastk.tolist(), raw)
 
 
 def test_hilbert_and_mama_against_naive(spark):
