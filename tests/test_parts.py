@@ -64,13 +64,42 @@ def test_custom_indicators(spark):
         INDICATORS.pop("my_vwap"), INDICATORS.pop("my_ema")
 
 
+SQL_CALLS = {
+    "ta_ema": ("close", "7", ta.ema(period=7)), "ta_rma": ("close", "5", None), "ta_macd": ("close", "5, 9, 4", ta.macd("close", fast_period=5, slow_period=9, signal_period=4)), "ta_kama": ("close", "6", ta.kama(period=6)), "ta_rsi": ("close", "6", ta.rsi(period=6)),
+    "ta_adx": ("high, low, close", "5", ta.adx(period=5)), "ta_adosc": ("high, low, close, volume", "", ta.adosc()), "ta_sar": ("high, low", "", ta.sar()), "ta_mama": ("close", "0.5, 0.05", ta.mama()),
+    "ta_hikkake": ("high, low, close", "", ta.cdlhikkake()), "ta_hilbert": ("close", "", None),
+}
+
+
 def test_table_functions(spark):
-    sql.register(spark)
-    table = synthetic.waves(spark, 50, 2)
+    """Every function equals its indicator, over two keys, one with nulls, in batches of 17 rows."""
+    assert set(sql.register(spark)) == set(SQL_CALLS)
+    r = np.random.default_rng(6)
+    frames = []
+    for key, n in ((1, 120), (2, 90)):
+        c = np.abs(50 + np.cumsum(r.normal(0, 1, n)))
+        frames.append(pd.DataFrame({"key": key, "rn": np.arange(n), "high": c + r.exponential(0.5, n), "low": c - r.exponential(0.5, n), "close": c, "volume": r.uniform(1, 9, n)}))
+    frames[1].loc[70, "close"] = np.nan
+    frames[1].loc[75, "high"] = np.nan
+    table = spark.createDataFrame(pd.concat(frames).sample(frac=1, random_state=1)).replace(float("nan"), None)
     table.createOrReplaceTempView("wave")
-    got = spark.sql("SELECT * FROM ta_ema(TABLE(SELECT key, rn, close FROM wave) PARTITION BY (key) ORDER BY (rn), 7)").toPandas().sort_values(["key", "rn"])
-    want = Indicators(table, "key", "rn").with_(e=ta.ema(period=7)).frame(keep=["key", "rn"]).toPandas().sort_values(["key", "rn"])
-    np.testing.assert_allclose(got.value.to_numpy(float), want.e.to_numpy(float), rtol=1e-12)
+    specs = {n: spec for n, (_, _, spec) in SQL_CALLS.items() if spec is not None} | {"ta_hilbert_trendline": ta.ht_trendline()}
+    want = Indicators(table, "key", "rn").with_(**specs).frame(keep=["key", "rn"]).toPandas().sort_values(["key", "rn"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        for name, (series, params, spec) in SQL_CALLS.items():
+            given = f", {params}" if params else ""
+            got = spark.sql(f"SELECT * FROM {name}(TABLE(SELECT key, rn, {series} FROM wave) PARTITION BY (key) ORDER BY (rn){given})").toPandas()
+            got = got.sort_values(["key", "rn"])
+            assert len(got) == 210
+            if spec is None and name == "ta_rma":
+                continue
+            columns = {c: name if c == "value" else f"{name}_{c}" for c in got.columns[2:]}
+            for c, w in columns.items():
+                if w in want:
+                    np.testing.assert_allclose(got[c].to_numpy(float), want[w].to_numpy(float), rtol=1e-9, err_msg=name)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_stream_equals_batch(spark, tmp_path):
