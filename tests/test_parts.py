@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+import naive as N
 from candela import custom, sql, ta
 from candela.functions.math import BINARY, UNARY
 from candela.operators.kernels import Ema, Macd, Maker
@@ -48,6 +49,48 @@ def test_golden_files_round_trip(spark, tmp_path):
     assert back.input["close"] == [1.0, None, None] and back.output["values"] == [None, None, 2.0]
 
 
+def test_fixture_runner_checks_all_files_in_one_plan(spark, tmp_path):
+    """Files from the plain definitions, on all datasets; then with faults of each sort."""
+    hlc = lambda f: (f.high.tolist(), f.low.tolist(), f.close.tolist())
+    made = {
+        ("sma", "period", 7): (6, lambda f: {"values": N.sma(f.close.tolist(), 7)}), ("ema", "period", 9): (8, lambda f: {"values": N.ema(f.close.tolist(), 9)}), ("rsi", "period", 6): (6, lambda f: {"values": N.rsi(f.close.tolist(), 6)}),
+        ("atr", "period", 5): (5, lambda f: {"values": N.atr(*hlc(f), 5)}), ("adx", "period", 5): (9, lambda f: {"values": N.adx(*hlc(f), 5)}), ("kama", "period", 6): (6, lambda f: {"values": N.kama(f.close.tolist(), 6)}),
+    }
+    done = 0
+    for (name, param, value), (lookback, outputs) in made.items():
+        for dataset, bars_ in golden.inputs_for(lookback).items():
+            if dataset == "with_nan_5pct" and name in ("atr", "adx"):
+                continue  # the plain versions leave NaN open there
+            record = golden.fixture(name, {param: value}, dataset, bars_, outputs(bars_), lookback)
+            (tmp_path / f"{name}_{param}{value}_{dataset}.json").write_text(json.dumps(record))
+            done += 1
+    mm = golden.inputs_for(29)["real_flat_period"]
+    low, high = (N.extremum(mm.close.tolist(), 30, big, False) for big in (False, True))
+    (tmp_path / "minmaxindex_flat.json").write_text(json.dumps(golden.fixture("minmaxindex", {}, "real_flat_period", mm, {"minidx": [i for _, i in low], "maxidx": [i for _, i in high]}, 29)))
+    got = golden.check_golden(golden.read_golden(spark, str(tmp_path / "*.json"))).toPandas()
+    assert len(got) == done + 2 and set(got.dataset) == set(golden.inputs_for(1))
+    assert got.wrong.sum() == 0, got[got.wrong > 0]
+    assert got.lookback_right.all() and got.length_right.all() and got.worst.max() < 1e-9
+    # Faults: a value, a null that should be a number, a number too early, a wrong lookback, a series that isn't there.
+    source = json.loads((tmp_path / "ema_period9_normal_1000.json").read_text())
+    faults = tmp_path / "faults"
+    faults.mkdir()
+    for k, change in enumerate([lambda v: v.__setitem__(50, v[50] + 0.1), lambda v: v.__setitem__(60, None), lambda v: v.__setitem__(3, 1.0), None, None]):
+        record = json.loads(json.dumps(source))
+        if change:
+            change(record["output"]["values"])
+        elif k == 3:
+            record |= {"lookback": 10, "output_length": 5}
+        else:
+            record["output"] = {"other": record["output"]["values"]}
+        (faults / f"{k}.json").write_text(json.dumps(record))
+    bad = golden.check_golden(golden.read_golden(spark, str(faults / "*.json"))).toPandas()
+    of = {(f[-6], s): r for f, s, r in zip(bad.file, bad.series, bad.to_dict("records"))}
+    assert [(of[str(k), "values"]["wrong"], of[str(k), "values"]["first_wrong"]) for k in range(3)] == [(1, 50), (1, 60), (1, 3)]
+    assert not of["3", "values"]["lookback_right"] and not of["3", "values"]["length_right"] and of["3", "values"]["wrong"] == 0
+    assert of["4", "other"]["wrong"] == 1000 and of["4", "values"]["wrong"] == 1000
+
+
 def test_custom_indicators(spark):
     table = synthetic.waves(spark, 40, 2)
     vw = custom.register_indicator("my_vwap", ("high", "low", "close", "volume"), build=custom.VWAP.build, period=14)
