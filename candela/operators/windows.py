@@ -32,10 +32,17 @@ def sma_of(f: Frame, x: Column, p: int, lookback: int = 0) -> Column:
     return f.gate(f.mean(x, p), lookback + p - 1, f.poisoned(x, p))
 
 
+def slope_of(f: Frame, x: Column, p: int) -> Column:
+    """Least-squares slope per bar; NaN over a single bar. A NaN counts only while it is in the window."""
+    if p == 1:
+        return F.lit(NAN)
+    return f.add(F.regr_slope(x, f.rn.cast("double")).over(f.trailing(p)))
+
+
 def wma_of(f: Frame, x: Column, p: int, lookback: int = 0) -> Column:
-    values = f.add(F.collect_list(x).over(f.trailing(p)))
-    total = F.aggregate(F.zip_with(values, F.sequence(F.lit(1), F.size(values)), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
-    return f.gate(total / (p * (p + 1) / 2), lookback + p - 1, f.poisoned(x, p))
+    """Weights 1 to p are their mean and a rise about it: the mean of the window and a share of its slope."""
+    value = f.mean(x, p) if p == 1 else f.mean(x, p) + slope_of(f, x, p) * ((p - 1) / 6.0)
+    return f.gate(value, lookback + p - 1, f.poisoned(x, p))
 
 
 def trima_of(f: Frame, x: Column, p: int, lookback: int = 0) -> Column:
@@ -347,21 +354,10 @@ def var(f, x, period=5, nbdev=1.0):
     return f.gate(f.add(F.var_pop(x).over(f.trailing(period))) * (nbdev * nbdev), period - 1, f.poisoned(x, period))
 
 
-def _slope(f: Frame, x: Column, p: int) -> Column:
-    """Least-squares slope per bar; NaN over a single bar. A NaN counts only while it is in the window."""
-    if p == 1:
-        return F.lit(NAN)
-    values = f.add(F.collect_list(x).over(f.trailing(p)))
-    mid = (p - 1) / 2.0
-    weights = F.sequence(F.lit(0), F.size(values) - 1)
-    rise = F.aggregate(F.zip_with(values, weights, lambda v, k: v * (k - mid)), F.lit(0.0), lambda a, v: a + v)
-    return f.add(rise / (p * (p * p - 1) / 12.0))
-
-
 def _line(name: str, at):
     @indicator("close", family="statistic", name=name)
     def build(f, x, period=14):
-        return f.gate(at(f.mean(x, period), _slope(f, x, period), period), period - 1)
+        return f.gate(at(f.mean(x, period), slope_of(f, x, period), period), period - 1)
 
 
 _line("linearreg", lambda m, s, p: m + s * ((p - 1) / 2))

@@ -1,11 +1,12 @@
 """Keys cut into blocks give what whole keys give."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from candela import ta
+from candela import oracle, queries, ta
 from candela.operators import kernels as K
 from candela.operators.linear import compose
 from candela.plans import blocks
@@ -126,3 +127,22 @@ def test_halo_reaches_back_as_far_as_windows_do(spark):
     frame.sum(frame.lag(F.col("close"), 4), 7)
     assert frame._block_size() == (11, {0: 10})  # the window of a lag reaches back through both
     assert blocks.reach("sum(x) OVER (ORDER BY b ROWS BETWEEN -12 AND -3)") == 12 and blocks.reach("a + b") == 0
+
+
+@pytest.mark.parametrize("name", queries.LONG)
+def test_long_queries_equal_their_sql(spark, monkeypatch, name):
+    """In blocks of some hundred bars; NULL for NULL."""
+    monkeypatch.setattr(blocks, "LEAST_BARS", 300)
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet'")
+    got, want = queries.queries()[name](spark, path).toPandas().sort_values("rn"), con.execute(oracle.oracle_sql()[name]).df().sort_values("rn")
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 1000
+    for c in want.columns:
+        a, b = got[c].to_numpy(float), want[c].to_numpy(float)
+        assert np.allclose(a, b, rtol=0, atol=1.5e-6, equal_nan=True), c
+
+
+def test_slopes_need_no_lists(spark, table):
+    plan = Indicators(table, "key", "rn").with_(w=ta.wma(), r=ta.linearreg(), t=ta.tsf()).frame()._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "regr_slope" in plan

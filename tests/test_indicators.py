@@ -181,7 +181,8 @@ def test_every_indicator_equals_duckdb_on_random_bars(spark):
 
 
 def test_all_158_are_there():
-    assert len(ta.names()) == 158 and len(ta.names("pattern")) == 61 and len(queries.queries()) == 159
+    assert len(ta.names()) == 158 and len(ta.names("pattern")) == 61 and len(queries.queries()) == 159 + len(queries.LONG)
+    assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
 def test_struct_outputs_and_shared_plan(spark):
