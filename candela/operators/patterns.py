@@ -11,8 +11,8 @@ Notation (k: bars ago, 0 the current bar; a: the bar a mean is anchored at):
     X@a             a threshold: factor times the mean of a quantity over the n
                     bars before bar a (THRESHOLDS)
 
-`&`, `|`, `!` stand for and, or, not.  Each threshold is NaN-gated: once a NaN has
-entered its running sum, it is NaN and every comparison with it is false.
+`&`, `|`, `!` stand for and, or, not.  A NaN price makes its bar black; a comparison with
+a NaN is false.  So is one with a threshold once a NaN has entered its running sum.
 
 Offsets: for the (pattern, threshold) pairs in OFFSETS the sum is seeded on other
 bars than its window, which leaves a constant for the whole series:
@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.numerics import NAN
+from ..functions.numerics import NAN, finite_or_null
 from ..plans.frame import Frame
 from ..plans.registry import indicator
 from . import kernels as K
@@ -47,7 +47,7 @@ THRESHOLDS = {
     "VU": ("US", 10, 0.1),
 }
 
-#: pattern -> (lookback, [(rule, code)]), first rule that holds. s0: sign of the bar's colour.
+#: Pattern -> (lookback, [(rule, code)]), first rule that holds. s0: sign of the bar's colour.
 PATTERNS: dict[str, tuple[int, list[tuple[str, str]]]] = {
     "cdl2crows": (12, [("W2 & RB2>BL@2 & B1 & O1>C2 & B0 & C1<O0 & O0<O1 & O2<C0 & C0<C2", "-100")]),
     "cdl3blackcrows": (12, [("B2 & B1 & B0 & C0<C1 & C1<C2 & C2<O1 & O1<O2 & C1<O0 & O0<O1 & US2<SVS@2 & US1<SVS@1 & US0<SVS@0", "-100")]),
@@ -113,7 +113,7 @@ _KICK = "RB1>BL@1 & US1<SVS@1 & LS1<SVS@1 & RB0>BL@0 & US0<SVS@0 & LS0<SVS@0"
 #: Default of the tunable penetration.
 PENETRATION = {"cdlabandonedbaby": 0.3, "cdldarkcloudcover": 0.5, "cdleveningdojistar": 0.3, "cdleveningstar": 0.3}
 
-#: (pattern, threshold) -> (first, last) bar that its sum is seeded on.
+#: Fixed values: (pattern, threshold) -> (first, last) bar that its sum is seeded on.
 OFFSETS = {
     ("cdl3blackcrows", "SVS@1"): (0, 9),
     ("cdl3blackcrows", "SVS@0"): (0, 9),
@@ -137,7 +137,7 @@ def rule_sql(rule: str, threshold, penetration: float | None = None) -> str:
             return threshold(m[1], int(m[2]))
         if m[3]:
             k = m[4]
-            return {"W": f"(c{k}>=o{k})", "B": f"(NOT c{k}>=o{k})", "s": f"(CASE WHEN c{k}>=o{k} THEN 1 ELSE -1 END)"}.get(m[3], f"{m[3].lower()}{k}")
+            return {"W": f"coalesce(c{k}>=o{k}, FALSE)", "B": f"(NOT coalesce(c{k}>=o{k}, FALSE))", "s": f"(CASE WHEN c{k}>=o{k} THEN 1 ELSE -1 END)"}.get(m[3], f"{m[3].lower()}{k}")
         if m[5]:
             k = m[6]
             return {"RB": f"abs(c{k}-o{k})", "US": f"(h{k}-greatest(o{k},c{k}))", "LS": f"(least(o{k},c{k})-l{k})", "hi": f"greatest(o{k},c{k})", "lo": f"least(o{k},c{k})"}[m[5]]
@@ -147,12 +147,13 @@ def rule_sql(rule: str, threshold, penetration: float | None = None) -> str:
 
 
 def _quantity(name: str, o: Column, h: Column, l: Column, c: Column) -> Column:  # noqa: E741
-    up, down = h - F.greatest(o, c), F.least(o, c) - l
-    return {"RB": F.abs(c - o), "HL": h - l, "US": up, "SH": up + down}[name]
+    """A body's ends are those of the prices that are numbers."""
+    up, down = h - F.greatest(*map(finite_or_null, (o, c))), F.least(*map(finite_or_null, (o, c))) - l
+    return {"RB": F.abs(c - o), "HL": h - l, "US": F.coalesce(up, F.lit(NAN)), "SH": F.coalesce(up + down, F.lit(NAN))}[name]
 
 
 def _threshold(f: Frame, bars: tuple, name: str, anchor: int, lookback: int, seed: tuple[int, int] | None) -> Column:
-    """factor * mean of the n bars before the anchor bar; NaN once a NaN has been summed."""
+    """factor * mean of the n bars before the anchor bar; NULL once a NaN has been summed."""
     kind, n, factor = THRESHOLDS[name]
     x = f.add(_quantity(kind, *bars))
     total = f.add(F.sum(x).over(f.rows(-(anchor + n), -(anchor + 1))))
@@ -166,42 +167,33 @@ def _threshold(f: Frame, bars: tuple, name: str, anchor: int, lookback: int, see
         # Both sums are over the first bars, which every output bar has behind it.
         behind = f.running("sum", F.coalesce(within, F.lit(0.0))) - f.running("sum", F.coalesce(usual, F.lit(0.0)))
         total = total + behind
-    return f.add(F.when(spoiled, F.lit(NAN)).otherwise(total * (factor / n)))
-
-
-def _guarded(sql: str, names: set[str]) -> str:
-    """The rule, false if a NaN takes part."""
-    return " AND ".join([f"({sql})", *(f"NOT isnan({n})" for n in sorted(names))])
+    return f.add(F.when(~spoiled, total * (factor / n)))
 
 
 def candle(f: Frame, name: str, o: Column, h: Column, l: Column, c: Column, penetration: float | None = None, strict_windows: bool = False) -> Column:  # noqa: E741
     """strict_windows: every threshold's mean is that of its window, without the offsets."""
     lookback, rules = PATTERNS[name]
     bars = tuple(f.add(x) for x in (o, h, l, c))
-    names: dict[str, str] = {}
+    # NaN as NULL: a comparison with it is not true, and a body's ends are those of the prices that are there.
+    prices = tuple(f.add(finite_or_null(x)) for x in bars)
 
     def column(x: Column) -> str:
         return re.search(r"__t\d+_\d*", str(x))[0]
 
     def price(letter: str, k: int) -> str:
-        return column(f.lag(bars["ohlc".index(letter)], k)) if k else column(bars["ohlc".index(letter)])
+        return column(f.lag(prices["ohlc".index(letter)], k))
 
     def threshold(kind: str, anchor: int) -> str:
         seed = None if strict_windows else OFFSETS.get((name, f"{kind}@{anchor}"))
-        got = column(_threshold(f, bars, kind, anchor, lookback, seed))
-        names[got] = got
-        return got
+        return column(_threshold(f, bars, kind, anchor, lookback, seed))
 
     out = None
     for rule, code in rules:
-        names.clear()
         sql = rule_sql(rule, threshold, penetration)
         places = re.compile(r"\b([ohlc])(\d)\b")
         sql = places.sub(lambda m: price(m[1], int(m[2])), sql)
         value = places.sub(lambda m: price(m[1], int(m[2])), rule_sql(code, threshold))
-        # A NaN price makes its bar black and its comparisons false.
-        taking_part = set(names) | set(re.findall(r"__t\d+_\d*", sql))
-        hit = F.expr(_guarded(sql, taking_part))
+        hit = F.expr(sql)
         out = F.when(hit, F.expr(f"cast({value} AS double)")) if out is None else out.when(hit, F.expr(f"cast({value} AS double)"))
     return F.when(f.rn >= lookback, out.otherwise(0.0)).otherwise(0.0)
 
