@@ -110,17 +110,17 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 """
 
 
-def _spans(kind: str, place: int, pattern: str, group: int, test: str) -> str:
-    """Rows doc_id, place, kind, lo, hi, m, gap of the matches that pass; gaps and matches add up to the places."""
+def _spans(kind: str, place: int, pattern: str, group: int, test: str, points: str = "0") -> str:
+    """Rows doc_id, place, kind, lo, hi, points of the matches that pass; gaps and matches add up to the places."""
     p = _literal(pattern)
     return f"""
-  SELECT doc_id, {place} AS place, '{kind}' AS kind, lo, lo + length(m) AS hi FROM (
+  SELECT doc_id, {place} AS place, '{kind}' AS kind, lo, lo + length(m) AS hi, {points} AS points FROM (
     SELECT doc_id, t, ms[i] AS m, gs[i] AS g, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS lo
     FROM (SELECT doc_id, t, ms, gaps, gs, unnest(range(1, len(ms) + 1)) AS i
           FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS gs, string_split_regex(t, {p}) AS gaps FROM d) WHERE len(ms) > 0)) WHERE {test}"""
 
 
-def _report(parts: list[str], counts: list[str], base: list[str], order: str) -> str:
+def _report(parts: list[str], counts: list[str], base: list[str], order: str, points: bool = False) -> str:
     text = "kind || ':' || lo || ':' || hi"
     inside = ", ".join(_literal(k) for k in base)
     ns = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in counts)
@@ -128,7 +128,7 @@ def _report(parts: list[str], counts: list[str], base: list[str], order: str) ->
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {ns}, sha256(coalesce(string_agg({text}, ',' ORDER BY {order}) FILTER (kind IN ({inside})), '')) AS base_sha256,
-       coalesce(string_agg({text}, ',' ORDER BY {order}) FILTER (kind IS NOT NULL), '') AS spans
+       coalesce(string_agg({text}, ',' ORDER BY {order}) FILTER (kind IS NOT NULL), '') AS spans{f", coalesce(string_agg(points::VARCHAR, ',' ORDER BY {order}) FILTER (kind IS NOT NULL), '') AS scores" if points else ""}
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
 
@@ -156,24 +156,32 @@ def op3() -> str:
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN (reverse({_DIGITS})[j])::INT
   ELSE (2 * (reverse({_DIGITS})[j])::INT) // 10 + (2 * (reverse({_DIGITS})[j])::INT) % 10 END)) % 10 = 0"""
-_MOD97 = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(m[5:] || m[1:4], ''), lambda c: CASE WHEN c >= '0' AND c <= '9' THEN c::BIGINT ELSE 1000 + ascii(c) - 55 END)),
+_IBAN = "replace(m, ' ', '')"
+_MOD97 = f"""list_reduce(list_prepend(0::BIGINT, list_transform(string_split({_IBAN}[5:] || {_IBAN}[1:4], ''), lambda c: CASE WHEN c >= '0' AND c <= '9' THEN c::BIGINT ELSE 1000 + ascii(c) - 55 END)),
   lambda a, x: CASE WHEN x >= 1000 THEN (a * 100 + x - 1000) % 97 ELSE (a * 10 + x) % 97 END) = 1"""
 
 
+def _points(kind: str) -> str:
+    """Hundredths: what the check is worth, and more with a context word within 40 characters before or after."""
+    sides = ("lower(right(t[1:lo], 40))", "lower(t[lo + length(m) + 1:lo + length(m) + 40])")
+    near = " OR ".join(f"contains({side}, {_literal(w)})" for side in sides for w in pii.CONTEXT[kind])
+    return f"({round(100 * pii.WORTH[kind])} + CASE WHEN {near} THEN {round(100 * pii.BONUS)} ELSE 0 END)"
+
+
 def op9() -> str:
     """The patterns of the contract itself, which the operator's guarded ones must equal."""
-    context = " OR ".join(f"contains(lower(right(t[1:lo], 40)), {_literal(w)})" for w in pii.CONTEXT["ssn"])
+    # \b is the operator's look-around once underscores are hyphens.
+    apart = lambda sql: sql.replace("regexp_extract_all(t,", "regexp_extract_all(translate(t, '_', '-'),").replace("string_split_regex(t,", "string_split_regex(translate(t, '_', '-'),")
     parts = [
-        _spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "TRUE"),
-        _spans("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) < 4 AND coalesce(try_cast(x AS HUGEINT), 999) <= 255))"),
-        _spans("card", 2, r"[0-9]([\x20-]?[0-9])+", 0, f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE FALSE END"),
-        _spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 8 AND 15"),
-        # \b is the operator's look-around once underscores are blanks.
-        _spans("iban", 4, r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0, _MOD97).replace("regexp_extract_all(t,", "regexp_extract_all(translate(t, '_', ' '),").replace("string_split_regex(t,", "string_split_regex(translate(t, '_', ' '),"),
-        # A whole run of figures and hyphens, with a context word before it.
-        _spans("ssn", 5, r"[0-9-]+", 0, f"regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND ({context})"),
+        _spans("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0, "TRUE", _points("email")),
+        _spans("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0, "list_bool_and(list_transform(string_split(m, '.'), lambda x: length(ltrim(x, '0')) < 4 AND coalesce(try_cast(x AS HUGEINT), 999) <= 255))", _points("ip")),
+        _spans("card", 2, r"[0-9]([\x20-]?[0-9])+", 0, f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE FALSE END", _points("card")),
+        _spans("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({_DIGITS}) BETWEEN 8 AND 15", _points("phone")),
+        apart(_spans("iban", 4, rf"\b[A-Z]{{2}}[0-9]{{2}}{pii.IBAN_REST}\b", 0, f"CASE WHEN length({_IBAN}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE FALSE END", _points("iban"))),
+        # A whole run of figures and hyphens, with a context word near it.
+        _spans("ssn", 5, r"[0-9-]+", 0, f"regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND {_points('ssn')} >= 60", _points("ssn")),
     ]
-    return _report(parts, pii.BASE, pii.BASE, "place, lo")
+    return _report(parts, pii.BASE, pii.BASE, "place, lo", points=True)
 
 
 ORACLES = {"op2_chat_formatting": OP2, "op3_secret_scans": op3(), "op5_minhash_near_dedup": OP5, "op9_pii": op9(), "op10_exact_dedup": OP10, "op11_source_mix": OP11, "op13_filter_audit": OP13}

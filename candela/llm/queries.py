@@ -67,7 +67,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read_table(spark, sf_dir, "documents"))
     kinds = [S.count(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *kinds, F.sha2(S.joined(F.col("base")), 256).alias("base_sha256"), S.joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *kinds, F.sha2(S.joined(F.col("base")), 256).alias("base_sha256"), S.joined(F.col("spans")).alias("spans"), pii.points(F.col("spans")).alias("scores"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

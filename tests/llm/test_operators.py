@@ -276,7 +276,7 @@ def test_pii_extra_kinds_and_scores(spark):
 
 
 def test_pii_context_reaches_past_the_match_before(spark):
-    """As the query's SQL has it: the word stands in the 40 characters before the number."""
+    """As the query's SQL has it: the word stands in the 40 characters before the number or after it."""
     rows = [(1, "é SSN 123-45-6789, 987-65-4321"), (2, "ssn 123-45-6789, 987-65-4321" + " " * 24 + "111-22-3333"), (3, "ssn" + " " * 37 + "123-45-6789"), (4, "ssn" + " " * 38 + "123-45-6789"), (5, "a@b.cd mail " + "x@y.zz, " * 2)]
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == [("ssn", 6, 17), ("ssn", 19, 30)]
@@ -284,6 +284,29 @@ def test_pii_context_reaches_past_the_match_before(spark):
     assert got[5] == [("email", 0, 6), ("email", 12, 18), ("email", 20, 26)]
 
 
+def test_pii_context_after_the_match(spark):
+    rows = [
+        (1, "123-45-6789 is my SSN"), (2, "123-45-6789" + " " * 37 + "ssn"), (3, "123-45-6789" + " " * 38 + "ssn"), (4, "123-45-6789 (b. 1970, 2 of 3) é is my ssn"),
+        (5, "123-45-6789, 987-65-4321: SSN"), (6, "🙂 123-45-6789" + "🙂" * 37 + "ssn"), (7, "a@b.cd is my mail"), (8, "ss 123-45-6789 n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end, round(100 * s.score)) for s in r.spans] for r in pii.find_pii(df).collect()}
+    assert got[1] == [("ssn", 0, 11, 70)] and got[2] == got[1] and got[3] == [] and got[4] == got[1] and got[8] == []
+    assert got[5] == [("ssn", 0, 11, 70), ("ssn", 13, 24, 70)] and got[6] == [("ssn", 2, 13, 70)] and got[7] == [("email", 0, 6, 120)]
+
+
+def test_ibans_in_groups(spark):
+    rows = [
+        (1, "DE89 3704 0044 0532 0130 00"), (2, "GB82 WEST 1234 5698 7654 32 THAT IS IT"), (3, "to NO93 8601 1117 947, please"), (4, "DE89 3704 0044 0532 0130 01"), (5, "BE68 5390 0754 7034 WITH love"),
+        (6, "DE89370400440532013000"), (7, "DE89  3704 0044 0532 0130 00"), (8, "xDE89 3704 0044 0532 0130 00"), (9, "_DE89 3704 0044 0532 0130 00_"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.text for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    assert got == {
+        1: ["DE89 3704 0044 0532 0130 00"], 2: ["GB82 WEST 1234 5698 7654 32"], 3: ["NO93 8601 1117 947"], 4: [], 5: ["BE68 5390 0754 7034"], 6: ["DE89370400440532013000"], 7: [], 8: [], 9: ["DE89 3704 0044 0532 0130 00"],
+    }
+
+
 def test_overlapping_spans_are_redacted_whole(spark):
     spans = "array(named_struct('kind', 'a', 'start', 2, 'end', 6), named_struct('kind', 'b', 'start', 4, 'end', 8), named_struct('kind', 'c', 'start', 9, 'end', 10))"
     got = spark.sql("SELECT '0123456789' t").select(S.redact(F.col("t"), F.expr(spans)).alias("x")).first().x
