@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, shuffle_parts, small_batches, stage, text_slices, work_path
+from .common import ensure_importable, shuffle_parts, small_batches, stage, table_bytes, text_slices, work_path
 from .encoding import encoder, forget_encoders
 
 MAGIC = b"CNDLTOK1"
@@ -89,8 +89,12 @@ def decode_block(stream) -> tuple[list, np.ndarray, np.ndarray] | None:
     return [None if z else d for d, z in zip(docs, null)], sizes, table[ranks].astype("<u4")
 
 
-def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out_dir: str | None = None, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode docs and write the shards; returns the manifest, one row per shard in id order."""
+def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out_dir: str | None = None, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 1 << 27) -> DataFrame:
+    """Encode docs and write the shards; returns the manifest, one row per shard in id order.
+
+    shard_bytes: there are as many shards as docs' bytes need, and one per shuffle partition at least:
+    a shard is one task's work.
+    """
     spark = docs.sparkSession
     ensure_importable(spark)
     out_dir = out_dir or work_path(spark, "token-files")
@@ -133,7 +137,8 @@ def write_token_files(docs: DataFrame, spec: str, end_id: int | None = None, out
         ], names=["shard", "path", "n_docs", "n_ids", "n_bytes"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    ordered = rows.repartitionByRange(shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    shards = max(shuffle_parts(spark), -(-table_bytes(docs, text_col) // shard_bytes))
+    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 

@@ -461,3 +461,19 @@ def test_exact_state_is_read_back_on_small_tables(spark, tmp_path, table, docs):
     batches = {r.batch: r.n for r in changes.groupBy("batch").agg(F.count("*").alias("n")).collect()}
     assert len(batches) == 4 and min(batches.values()) > 0
     assert changes.groupBy("digest").count().filter("count > 1").count() > 0  # entries of earlier batches changed
+
+
+def test_shards_follow_the_size(spark, tmp_path):
+    """Plain tables by their files' size, others by their texts'."""
+    path = str(tmp_path / "docs")
+    df = spark.createDataFrame([(d, f"word {d} " * 40) for d in range(60)], "doc_id long, text string")
+    df.write.parquet(path)
+    reads = []
+    for table in (spark.read.parquet(path), df.join(spark.range(60).withColumnRenamed("id", "doc_id"), "doc_id")):
+        counts = []
+        for size in (1 << 27, 400):
+            manifest = token_files.write_token_files(table, SPEC, 2, shard_bytes=size)
+            counts.append(manifest.count())
+            reads.append([(r.doc_id, r.start, bytes(r.ids)) for r in token_files.read_token_files(spark, manifest).orderBy("doc_id").collect()])
+        assert counts[0] == 4 < counts[1]
+    assert all(r == reads[0] for r in reads) and len(reads[0]) == 60
