@@ -8,8 +8,8 @@ from .operators.patterns import OFFSETS, PATTERNS, PENETRATION, THRESHOLDS, rule
 from .queries import UNIT
 
 BARS = """bars AS (
-  SELECT e.event_type AS key, date_trunc('hour', e.ts) AS hour, arg_min(e.value, e.ts) AS open, max(e.value) AS high,
-         min(e.value) AS low, arg_max(e.value, e.ts) AS close, count(*)::DOUBLE AS volume
+  SELECT e.event_type AS key, date_trunc('hour', e.ts) AS hour, arg_min(e.value, struct_pack(t := e.ts, i := e.event_id)) AS open, max(e.value) AS high,
+         min(e.value) AS low, arg_max(e.value, struct_pack(t := e.ts, i := e.event_id)) AS close, count(*)::DOUBLE AS volume
   FROM events e GROUP BY 1, 2),
 b AS (
   SELECT *, close AS real0, high AS real1, volume * 3 AS periods, close / (1 + abs(close)) AS unit,
