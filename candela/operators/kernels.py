@@ -296,20 +296,16 @@ HILBERT_A, HILBERT_B = 0.0962, 0.5769
 
 
 class _Quadrature:
-    """A Hilbert stage. Bars of even and odd index go through separate lines of the same shape."""
+    """A Hilbert stage: four taps on the bar itself and those two, four and six bars before it."""
 
     def __init__(self):
-        # For either parity: three inputs back (ring), the last B term, the last input.
-        self.lines = [[[0.0] * 3, 0.0, 0.0], [[0.0] * 3, 0.0, 0.0]]
+        # The last three inputs of bars of either parity.
+        self.past = [deque([0.0] * 3, maxlen=3) for _ in range(2)]
 
-    def __call__(self, x: float, parity: int, slot: int, gain: float) -> float:
-        line = self.lines[parity]
-        ring, held, before = line
-        now, tail = HILBERT_A * x, HILBERT_B * before
-        value = now - ring[slot] - held + tail
-        ring[slot] = now
-        line[1], line[2] = tail, x
-        return value * gain
+    def __call__(self, x: float, parity: int, gain: float) -> float:
+        six, four, two = self.past[parity]
+        self.past[parity].append(x)
+        return (HILBERT_A * x - HILBERT_A * six - HILBERT_B * four + HILBERT_B * two) * gain
 
 
 class _Cycle:
@@ -322,7 +318,6 @@ class _Cycle:
         self.warmup, self.at = warmup, 0
         self.prices: deque = deque(maxlen=4)
         self.detrend, self.quadrature, self.advance_i, self.advance_q = (_Quadrature() for _ in range(4))
-        self.slot = 0
         self.delay = [[0.0, 0.0], [0.0, 0.0]]  # detrended values two and three bars back, as either parity sees them
         self.before = 0j  # smoothed phasor of the last bar
         self.product = 0j
@@ -338,14 +333,12 @@ class _Cycle:
             return False
         p = self.prices
         self.smoothed = (4.0 * p[-1] + 3.0 * p[-2] + 2.0 * p[-3] + p[-4]) / 10.0
-        gain, parity, slot = 0.075 * self.period + 0.54, t % 2, self.slot
-        detrended = self.detrend(self.smoothed, parity, slot, gain)
-        self.quad = self.quadrature(detrended, parity, slot, gain)
+        gain, parity = 0.075 * self.period + 0.54, t % 2
+        detrended = self.detrend(self.smoothed, parity, gain)
+        self.quad = self.quadrature(detrended, parity, gain)
         self.inphase = self.delay[parity][1]
-        ahead_i = self.advance_i(self.inphase, parity, slot, gain)
-        ahead_q = self.advance_q(self.quad, parity, slot, gain)
-        if parity == 0:
-            self.slot = (slot + 1) % 3
+        ahead_i = self.advance_i(self.inphase, parity, gain)
+        ahead_q = self.advance_q(self.quad, parity, gain)
         other = self.delay[1 - parity]
         other[1], other[0] = other[0], detrended
         phasor = 0.2 * complex(self.inphase - ahead_q, self.quad + ahead_i) + 0.8 * self.before
