@@ -334,6 +334,82 @@ def long_sql() -> dict[str, str]:
     return out
 
 
+def _whole(sql: str, values: dict[str, tuple[str, int]], nan: dict[str, str] | None = None) -> str:
+    """All bars of `v` in a statement of simple() or recursion(): each output from its lookback on, and where it is NaN."""
+    head, _, _ = sql.rpartition(" SELECT key, rn, round(")
+    spoiled = {c: f"rn >= {n} AND coalesce({(nan or {}).get(c, 'FALSE')}, FALSE)" for c, (_, n) in values.items()}
+    columns = [f"CASE WHEN rn >= {n} AND NOT ({spoiled[c]}) THEN round({e}, 6) + 0.0 END AS {c}, {spoiled[c]} AS {c}_nan" for c, (e, n) in values.items()]
+    return f"{head} SELECT key, rn, {', '.join(columns)} FROM v"
+
+
+def _weighted(x: str, p: int) -> str:
+    return "(" + " + ".join(f"{p - k} * {_lag(x, k) if k else x}" for k in range(p)) + f") / {p * (p + 1) / 2}"
+
+
+def _adaptive(p: int) -> tuple[list[tuple[str, str, str]], list[dict[str, str]]]:
+    """(state `kama`, steps) of the adaptive mean over p bars."""
+    fast, slow = 2.0 / 3.0, 2.0 / 31.0
+    states = [("kama", "NULL", f"CASE WHEN rn < {p - 1} THEN NULL WHEN rn = {p - 1} THEN close ELSE p_kama + c * (close - p_kama) END")]
+    steps = [
+        {"move": f"abs(close - {_lag('close')})", "net": f"abs(close - {_lag('close', p)})"}, {"path": f"sum(move) {_w(p)}"},
+        {"c": f"((CASE WHEN path > 0 THEN net / path ELSE 0 END) * {fast - slow!r} + {slow!r}) ** 2"},
+    ]
+    return states, steps
+
+
+def whole_sql() -> dict[str, str]:
+    """The queries of queries.WHOLE."""
+    out = {}
+    kama, steps = _adaptive(10)
+    steps = [*steps, {"sma": f"avg(close) {_w(10)}", "wma": _weighted("close", 10), "s6": f"sum(close) {_w(6)}"}, {"trima": f"sum(s6) {_w(5)} / 30.0"}]
+    v = 0.7
+    t3 = f"{-(v**3)!r} * e6 + {3 * v**2 + 3 * v**3!r} * e5 + {-6 * v**2 - 3 * v - 3 * v**3!r} * e4 + {1 + 3 * v + v**3 + 3 * v**2!r} * e3"
+    types = [("sma", 9), ("e1", 9), ("wma", 9), ("2 * e1 - e2", 18), ("3 * e1 - 3 * e2 + e3", 27), ("trima", 9), ("kama", 10), ("e1", 9), (t3, 54)]
+    names = [f"type{t}" for t in range(9)]
+    out["ma_types"] = _whole(recursion([*_chain(10, 6), *kama], dict(zip(names, (e for e, _ in types))), 0, steps), {n: (n, b) for n, (_, b) in zip(names, types)})
+
+    kama, steps = _adaptive(12)
+    steps = [*steps, {"sma": f"avg(close) {_w(26)}", "wma": _weighted("close", 26), "s14": f"sum(close) {_w(14)}"}, {"trima": f"sum(s14) {_w(13)} / 182.0"}]
+    line = lambda n, e: (n, "NULL", f"CASE WHEN rn < 25 THEN NULL ELSE {e} END")
+    states = [
+        *_ema("fast", "close", 12), line("m1", "fast - sma"),
+        *_ema("d1", "close", 12), *_ema("d2", "d1", 12, 11), line("m2", "2 * d1 - d2 - wma"), *_ema("g", "m2", 9, 25),
+        *kama, line("m3", "kama - trima"), *_ema("h1", "m3", 9, 25), *_ema("h2", "h1", 9, 33), *_ema("h3", "h2", 9, 41),
+    ]
+    lines = {"mean": ("m1", "g1", 33), "double": ("m2", "g", 33), "adaptive": ("m3", "3 * h1 - 3 * h2 + h3", 49)}
+    values = {f"{n}_{o}": (e, b) for n, (m, g, b) in lines.items() for o, e in (("macd", m), ("signal", g), ("hist", f"{m} - ({g})"))}
+    sql = recursion(states, {n: e for n, (e, _) in values.items()}, 0, steps, [{"g1": _weighted("m1", 9)}])
+    out["macdext_types"] = _whole(sql, {n: (n, b) for n, (_, b) in values.items()})
+
+    # Sums that run along stay NaN once a NaN has come in; windows that are looked at anew recover.
+    gaps = {"gap": "floor(close * 100)::BIGINT % 199 = 7"}
+    known = {"x": "CASE WHEN NOT gap THEN close END"}
+    ever, within = f"bool_or(gap) {_ALL}", lambda p: f"bool_or(gap) {_w(p)}"
+    nan = {"ever": ever, "last14": within(14), "last30": within(30), "all30": f"bool_and(gap) {_w(30)}", "ago10": _lag("gap", 10), "o1": _lag("open"), "x1": _lag("x")}
+    values = {
+        "sma": (f"avg(x) {_w(20)}", 19, "ever"), "wma": (_weighted("x", 20), 19, "ever"), "stddev": (f"stddev_pop(x) {_w(5)}", 4, "ever"), "mom": (f"x - {_lag('x', 10)}", 10, "gap OR ago10"),
+        "linearreg": (f"avg(x) {_w(14)} + 6.5 * regr_slope(x, rn) {_w(14)}", 13, "last14"), "trange": ("CASE WHEN x1 IS NULL THEN high - low ELSE greatest(high - low, abs(high - x1), abs(low - x1)) END", 1, "FALSE"),
+        "max": (f"max(x) {_w(30)}", 29, "last30"), "min": (f"min(x) {_w(30)}", 29, "all30"),
+        "obv": (f"sum(CASE WHEN rn = 0 THEN volume WHEN x > x1 THEN volume WHEN x < x1 THEN -volume ELSE 0 END) {_ALL}", 0, "FALSE"),
+        "engulfing": ("CASE WHEN x1 < o1 AND x >= open AND x > o1 AND open < x1 THEN 100 WHEN x1 >= o1 AND x < open AND x < o1 AND open > x1 THEN -100 ELSE 0 END", 0, "FALSE"),
+    }
+    states = _ema("ema", "x", 20)
+    # A search as a scan does it: anew, from the window's oldest bar on, when the last extremum has left or is NaN; else the newest bar alone.
+    for n, pick, beats in (("max", "arg_max", ">"), ("min", "arg_min", "<")):
+        place = f"struct_pack(a := x, b := {'-rn' if n == 'max' else 'rn'})"
+        nan |= {f"w_{n}": f"{n}(x) {_w(30)}", f"i_{n}": f"{pick}(rn, {place}) FILTER (WHERE NOT gap) {_w(30)}", "old": _lag("gap", 29)}
+        states += [
+            (f"anew_{n}", "0", f"CASE WHEN rn >= 29 AND (p_{n}_i < rn - 29 OR p_{n}_v IS NULL) THEN 1 ELSE 0 END"),
+            (f"{n}_v", "NULL", f"CASE WHEN rn < 29 THEN NULL WHEN anew_{n} = 1 THEN CASE WHEN NOT old THEN w_{n} END WHEN x {beats} p_{n}_v THEN x ELSE p_{n}_v END"),
+            (f"{n}_i", "-1", f"CASE WHEN rn < 29 THEN -1 WHEN anew_{n} = 1 THEN CASE WHEN old THEN rn - 29 ELSE i_{n} END WHEN x {beats} p_{n}_v THEN rn ELSE p_{n}_i END"),
+        ]
+        values |= {f"search_{n}": (f"{n}_v", 29, f"none_{n}"), f"search_{n}index": (f"{n}_i", 29, "FALSE")}
+    flags = {f: f for f in ("gap", "ever", "last14", "last30", "all30", "ago10")} | {f"none_{n}": f"{n}_v IS NULL" for n in ("max", "min")}
+    sql = recursion(states, {n: e for n, (e, _, _) in values.items()} | {"ema": "ema"} | flags, 0, [gaps, known, nan])
+    out["nan_bars"] = _whole(sql, {n: (n, b) for n, (_, b, _) in values.items()} | {"ema": ("ema", 19)}, {n: " OR ".join(f"{f} <> 0" for f in s.split(" OR ")) for n, (_, _, s) in values.items() if s != "FALSE"} | {"ema": "ever <> 0"})
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     c, d = "close", "close"
     out = {n: simple(f"{n}(unit)") for n in UNIT}
@@ -437,7 +513,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {n: pattern(n) for n in PATTERNS}
     out |= {"cdlhikkake": _hikkake(False), "cdlhikkakemod": _hikkake(True)}
     out["vwap"] = simple(f"sum(p) {_w(14)} / sum(volume) {_w(14)}", 13, [{"p": "(high + low + close) / 3 * volume"}])
-    return out | long_sql()
+    return out | long_sql() | whole_sql()
 
 
 def _after(sql: str, steps: list[dict[str, str]], values: dict[str, str], lookback: int) -> str:

@@ -96,5 +96,42 @@ def long_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Queries whose rows are all bars, also those without a value; in nan_bars, close is NaN at some.
+WHOLE = {
+    "ma_types": lambda: {f"type{t}": ta.ma("close", period=10, matype=t) for t in range(9)},
+    "macdext_types": lambda: {
+        "mean": ta.macdext("close", fast_matype=1, slow_matype=0, signal_matype=2),
+        "double": ta.macdext("close", fast_matype=3, slow_matype=2, signal_matype=1),
+        "adaptive": ta.macdext("close", fast_matype=6, slow_matype=5, signal_matype=4),
+    },
+    "nan_bars": lambda: {
+        "sma": ta.sma(), "ema": ta.ema(), "wma": ta.wma(), "stddev": ta.stddev(), "mom": ta.mom(), "linearreg": ta.linearreg(), "trange": ta.trange(),
+        "max": ta.max("close", period=30), "min": ta.min("close", period=30), "obv": ta.obv(), "engulfing": ta.cdlengulfing(),
+        "search_max": ta.max("close", period=30, exact_nan=True), "search_maxindex": ta.maxindex("close", period=30, exact_nan=True),
+        "search_min": ta.min("close", period=30, exact_nan=True), "search_minindex": ta.minindex("close", period=30, exact_nan=True),
+    },
+}
+
+
+def with_gaps(bars_: DataFrame) -> DataFrame:
+    """close is NaN where its hundredths leave a rest of 7 over 199."""
+    return bars_.withColumn("close", F.when(F.floor(F.col("close") * 100) % 199 == 7, F.lit(float("nan"))).otherwise(F.col("close")))
+
+
+def whole_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """All bars: key, index and, for each output, its value (NULL where it has none) and <output>_nan, whether it is NaN."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = event_bars(spark, sf_dir)
+        table = with_gaps(table) if name == "nan_bars" else table
+        out = Indicators(table, "key", "ts").with_(rn=_index(), **WHOLE[name]()).frame(keep=["key"])
+        columns = [c for c in out.columns if c not in ("key", "rn")]
+        nan = {c: F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False)) for c in columns}
+        values = (F.when(~nan[c], rounded(F.col(c).cast("double"))).alias(c) for c in columns)
+        return out.select("key", F.col("rn").cast("long").alias("rn"), *values, *(n.alias(f"{c}_nan") for c, n in nan.items()))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query(name) for name in ta.names()} | {"vwap": vwap_query} | {name: long_query(name) for name in LONG}
+    return {name: query(name) for name in ta.names()} | {"vwap": vwap_query} | {name: long_query(name) for name in LONG} | {name: whole_query(name) for name in WHOLE}

@@ -181,10 +181,21 @@ def test_every_indicator_equals_duckdb_on_random_bars(spark):
 
 
 def test_all_158_are_there():
-    assert len(ta.names()) == 158 and len(ta.names("pattern")) == 61 and len(queries.queries()) == 159 + len(queries.LONG)
+    assert len(ta.names()) == 158 and len(ta.names("pattern")) == 61 and len(queries.queries()) == 159 + len(queries.LONG) + len(queries.WHOLE)
     assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
+@pytest.mark.parametrize("name", queries.WHOLE)
+def test_whole_queries_equal_their_sql(spark, name):
+    """By position: lookbacks, NaN bars and all types of means."""
+    path = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet'")
+    got, want = (d.sort_values(["key", "rn"]).reset_index(drop=True) for d in (queries.queries()[name](spark, path).toPandas(), con.execute(oracle.oracle_sql()[name]).df()))
+    assert len(got) > 3000 and (name != "nan_bars" or got["sma_nan"].any() and got["search_min_nan"].any() and not got["search_max_nan"].equals(got["max_nan"]))
+    pd.testing.assert_frame_equal(got[sorted(got.columns)], want[sorted(want.columns)], check_exact=False, rtol=0, atol=1.5e-6)
+
+
 def test_struct_outputs_and_shared_plan(spark):
     table = synthetic.waves(spark, 60, 2)
     ind = Indicators(table, "key", "rn").with_(a=ta.sma(period=3), b=ta.bbands(period=5), c=ta.max(period=4), d=ta.cdlengulfing())
