@@ -31,6 +31,7 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -239,15 +240,43 @@ class _Numbers(dict):
         return n
 
 
+#: A sign of each class that a split pattern tells apart, none of them named by a pattern itself; the last for what is in no class.
+STAND_INS = {r"\p{L}": "\u0416", r"\p{N}": "\u0663", r"\s": "\u2003", "": "\u00a7"}
+
+
+@lru_cache(1)
+def reclassified() -> dict[str, str]:
+    """Stand-in -> the characters whose class `tiktoken` has otherwise than `regex`, whose Unicode tables are of another version."""
+    import regex
+    import tiktoken
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    single = {bytes([b]): b for b in range(256)}
+    moved: dict[str, str] = {}
+    for name, stand_in in STAND_INS.items():
+        if name:
+            # Text between matches has no ids, so the ids are the bytes of the class.
+            own = bytes(tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode()
+            theirs = set(regex.findall(name, every))
+            moved |= dict.fromkeys(theirs.difference(own), STAND_INS[""]) | dict.fromkeys(set(own) - theirs, stand_in)
+    return {s: "".join(sorted(c for c, to in moved.items() if to == s)) for s in STAND_INS.values()}
+
+
 class Splitter:
-    """Texts as word numbers (bytes of u32). The words of each space-led unit are remembered: the pattern never matches across a space before a word."""
+    """Texts as word numbers (bytes of u32). The words of each space-led unit are remembered: the pattern never matches across a space before a word.
+
+    classes: see reclassified; where a text has such a character, the words are found in a copy with its stand-in.
+    """
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, classes: dict[str, str] | None = None):
         import re
 
         import regex
 
-        self.find = regex.compile(pattern).findall
+        whole = regex.compile(pattern)
+        self.findall, self.finditer = whole.findall, whole.finditer
+        self.moved = {c: s for s, chars in (classes or {}).items() for c in chars}
+        self.stand_ins = str.maketrans(self.moved)
         self.irregular = re.compile(r" (?=\s|\Z)").search
         self.clear()
 
@@ -255,6 +284,11 @@ class Splitter:
         self.units: dict[str, bytes] = {}
         self.known = _Numbers()
 
+    def find(self, text: str) -> list[str]:
+        if text.isascii() or self.moved.keys().isdisjoint(text):
+            return self.findall(text)
+        return [text[m.start() : m.end()] for m in self.finditer(text.translate(self.stand_ins))]
+
     def numbers(self, words: list[str]) -> bytes:
         from array import array
 
@@ -321,9 +355,10 @@ def _codes(words: list[bytes]) -> pa.Array:
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 400_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), bytes (the decoded ids); digests_only: their SHA-256 in place of the last two."""
     ensure_importable(docs.sparkSession)
+    classes = reclassified()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(pattern)
+        splitter = Splitter(pattern, classes)
         for batch in small_batches(batches, 1024):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_slices(texts, 1_000_000):

@@ -338,6 +338,21 @@ def test_bpe_folds_flat_and_in_blocks(spark, flat, block):
         assert row.ids == library._encode_single_piece(row.w.encode("latin-1")), row.w
 
 
+def test_bpe_has_the_unicode_classes_of_the_library(spark):
+    """Characters that newer tables count as letters or numbers, before contractions, figures, letters and white space."""
+    import tiktoken
+
+    ranks, moved = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), [c for chars in bpe.reclassified().values() for c in chars]
+    some = [*moved[::97], "\U000323b0", "\u088f", "\u0c5c", "\u0416", "\u0663"]
+    texts = [f"a{c}'s {c}{c}1 {c}b{c}\n{c}  {c}'re" for c in some]
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.ids, bytes(r.bytes).decode()) for r in bpe.encode_documents(df, ranks, P.PATTERN).collect()}
+    assert got == {i: (encoding.encode_ordinary(t), t) for i, t in enumerate(texts)}
+    plain = bpe.Splitter(P.PATTERN)
+    assert not moved or any(plain.find(t) != bpe.Splitter(P.PATTERN, bpe.reclassified()).find(t) for t in texts)
+
+
 def test_bpe_of_a_long_word(spark):
     import tiktoken
 
