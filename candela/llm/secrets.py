@@ -18,6 +18,7 @@ empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -92,60 +93,125 @@ def _of(strings: set[str]) -> object:
     return _any(_all(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
 
 
-def trigram_query(pattern: str, most: int = 64) -> object:
-    """The Boolean query of trigrams that each match of the pattern needs (lower case).
+#: What an escape stands for: a character; what isn't here and is a letter or a figure stands for several or for none.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a"}
+_QUANTIFIER = re.compile(r"(?:([*+?])|\{(\d*)(?:(,)(\d*))?\})[?+]?")
+_GROUP = re.compile(r"\(\?(?:(?P<around><?[=!])|P?<\w+>|[a-zA-Z-]*:|>|(?P<flags>[a-zA-Z-]+\)))|\(")
+
+
+class _Needs:
+    """Reads a pattern from left to right, as Java and Python both have it; each part gives (the lower-case strings it matches, if few; a query that holds anyway).
 
     Concatenations are folded over sets of exact strings; where a set would exceed
     `most` strings, or an element is open-ended, the set so far turns into a query.
     """
-    from re import _constants as C
-    from re import _parser
 
-    def walk(items) -> tuple[set[str] | None, object]:
-        """(the exact strings it matches, if few; a query that holds anyway)"""
+    def __init__(self, pattern: str, most: int):
+        self.pattern, self.most, self.at = pattern, most, 0
+
+    def here(self, some: str) -> bool:
+        return self.pattern[self.at : self.at + 1] in some if self.at < len(self.pattern) else False
+
+    def alternatives(self) -> tuple[set[str] | None, object]:
+        found = [self.sequence()]
+        while self.here("|"):
+            self.at += 1
+            found.append(self.sequence())
+        if len(found) == 1:
+            return found[0]
+        strings = None if any(s is None for s, _ in found) else set().union(*(s for s, _ in found))
+        return (strings if strings is not None and len(strings) <= self.most else None), _any(q for _, q in found)
+
+    def sequence(self) -> tuple[set[str] | None, object]:
         run, queries, exact = {""}, [], True
-        for op, arg in items:
-            strings, query = one(op, arg)
+        while self.at < len(self.pattern) and not self.here("|)"):
+            strings, query = self.repeated(*self.element())
             queries.append(query)
-            if strings is None or len(run) * len(strings) > most:
+            if strings is None or len(run) * len(strings) > self.most:
                 queries.append(_of(run))
                 run, exact = strings or {""}, False
             else:
                 run = {a + b for a in run for b in strings}
         return (run if exact else None), _all([*queries, _of(run)])
 
-    def one(op, arg) -> tuple[set[str] | None, object]:
-        if op is C.LITERAL:
-            return {chr(arg).lower()}, True
-        if op is C.IN:
-            chars: set[str] = set()
-            for kind, value in arg:
-                if kind is C.LITERAL:
-                    chars.add(chr(value).lower())
-                elif kind is C.RANGE and value[1] - value[0] < 8:
-                    chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-                else:
-                    return None, True
-            return chars, True
-        if op is C.SUBPATTERN:
-            return walk(arg[-1])
-        if op is C.BRANCH:
-            found = [walk(x) for x in arg[1]]
-            strings = None if any(s is None for s, _ in found) else set().union(*(s for s, _ in found))
-            return (strings if strings is not None and len(strings) <= most else None), _any(q for _, q in found)
-        if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
-            low, high, inner = arg
-            strings, query = walk(inner)
-            if strings is not None and (low, high) == (0, 1):
-                return strings | {""}, True
-            if strings is not None and low == high and len(strings) ** low <= most:
-                return reduce(lambda a, _: {x + y for x in a for y in strings}, range(low), {""}), query
-            return None, query if low else True
-        if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+    def repeated(self, strings: set[str] | None, query: object) -> tuple[set[str] | None, object]:
+        if not (m := _QUANTIFIER.match(self.pattern, self.at)) or m[0][:2] == "{}":
+            return strings, query
+        self.at = m.end()
+        low = {"*": 0, "+": 1, "?": 0}[m[1]] if m[1] else int(m[2] or 0)
+        high = {"*": None, "+": None, "?": 1}[m[1]] if m[1] else low if not m[3] else int(m[4]) if m[4] else None
+        if strings is not None and (low, high) == (0, 1):
+            return strings | {""}, True
+        if strings is not None and low == high and len(strings) ** low <= self.most:
+            return reduce(lambda a, _: {x + y for x in a for y in strings}, range(low), {""}), query
+        return None, query if low else True
+
+    def element(self) -> tuple[set[str] | None, object]:
+        if m := _GROUP.match(self.pattern, self.at):
+            self.at = m.end()
+            if m["flags"]:
+                return {""}, True
+            inner = self.alternatives()
+            self.at += 1
+            return ({""}, True) if m["around"] else inner
+        if self.here("["):
+            return self.members(), True
+        if self.here("^$"):
+            self.at += 1
+            return {""}, True
+        if self.here("."):
+            self.at += 1
+            return None, True
+        if self.pattern[self.at : self.at + 2] in ("\\b", "\\B", "\\A", "\\Z", "\\z"):
+            self.at += 2
             return {""}, True
-        return None, True
+        c = self.character()
+        return (None if c is None else {c.lower()}), True
+
+    def character(self) -> str | None:
+        """The character named here; None where it is one of several."""
+        c = self.pattern[self.at]
+        self.at += 1
+        if c != "\\":
+            return c
+        c = self.pattern[self.at]
+        self.at += 1
+        if c in "pPQEkNuUXRcC0":
+            raise ValueError(f"\\{c} is not read: {self.pattern}")
+        if c == "x":
+            self.at += 2
+            return chr(int(self.pattern[self.at - 2 : self.at], 16))
+        return ESCAPES.get(c, None if c.isalnum() else c)
+
+    def members(self) -> set[str] | None:
+        """The characters of a class; None where it is negated or has a long range."""
+        self.at += 1
+        chars: set[str] | None = set()
+        if self.here("^"):
+            self.at, chars = self.at + 1, None
+        begin = self.at
+        while not self.here("]") or self.at == begin:
+            if self.here("["):
+                raise ValueError(f"a class in a class is not read: {self.pattern}")
+            low = high = self.character()
+            if low is not None and self.here("-") and self.pattern[self.at + 1] != "]":
+                self.at += 1
+                high = self.character()
+            if low is None or high is None or ord(high) - ord(low) >= 8:
+                chars = None
+            elif chars is not None:
+                chars |= {chr(c).lower() for c in range(ord(low), ord(high) + 1)}
+        self.at += 1
+        return chars
 
-    return walk(_parser.parse(pattern))[1]
+
+def trigram_query(pattern: str, most: int = 64) -> object:
+    """The Boolean query of trigrams that each match of the pattern needs (lower case)."""
+    reader = _Needs(pattern, most)
+    query = reader.alternatives()[1]
+    if reader.at < len(pattern):
+        raise ValueError(f"a bracket without its opening at {reader.at}: {pattern}")
+    return query
 
 
 def trigrams(query: object) -> set[str]:

@@ -213,6 +213,11 @@ def test_trigram_queries():
     assert q("abcd|xyz") == ("or", frozenset({("and", frozenset({"abc", "bcd"})), "xyz"}))
     assert q("api_?key") == secrets._of({"apikey", "api_key"})
     assert secrets.trigrams(q("ab[cd]e")) == {"abc", "bce", "abd", "bde"}
+    assert q(r"(?<!x)(?:foo){2}+\x2e[^a]\d(bar|b[]-]z)?") == secrets._of({"foofoo."}) and q(r"xab{,2}") is True
+    assert secrets.trigrams(q(r"(?i)[a-z]+@(one|two)\b")) == {"@on", "one", "@tw", "two"}
+    for unread in (r"\p{L}abc", r"[a[bc]]def", "abc)", r"\Qa+b\E"):
+        with pytest.raises(ValueError):
+            q(unread)
 
 
 def test_every_match_satisfies_its_trigram_query():
