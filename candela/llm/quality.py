@@ -8,8 +8,8 @@ kept when the base rules hold and the score is at least the threshold.
 The threshold is deterministic: `threshold` if given, else `margin` below the
 `quantile` of the target documents' own scores, all of which are counted (their
 scores go into a histogram of `STEP`-wide bins, so the quantile needs no sort and
-depends on no order).  Raw counts cover all rows; the target is a bounded sample of
-labelled rows (see `trusted_texts`).  What the driver holds is `buckets` counts
+depends on no order).  Raw counts cover all rows, the target all labelled good
+documents (see `trusted_texts`).  What the driver holds is `buckets` counts
 twice and that histogram.
 
 Rules of the base: n_words, word_chars (code points in words), n_symbols,
@@ -149,14 +149,19 @@ def fit(docs: DataFrame, target: DataFrame, order: int = 2, buckets: int = 16_38
     text = f"cast(`{text_col}` as string) text"
     trusted = target.select("text").filter("text is not null")
     ratio = log_ratio(gram_counts(trusted, order, buckets), gram_counts(docs.selectExpr(text), order, buckets))
-    bins = _scored(trusted, ratio, order, None).filter("not base_failed").groupBy(F.floor(F.col("score") / STEP).alias("bin")).count()
+    return ratio, _threshold(_scored(trusted, ratio, order, None), quantile, margin)
+
+
+def _threshold(scores: DataFrame, quantile: float, margin: float) -> float | None:
+    """The threshold that the target's scores give; None without a sound target."""
+    bins = scores.filter("not base_failed").groupBy(F.floor(F.col("score") / STEP).alias("bin")).count()
     seen = sorted((r.bin, r["count"]) for r in bins.collect())
     total, below = sum(c for _, c in seen), 0
     for b, c in seen:
         below += c
         if below > quantile * total:
-            return ratio, b * STEP - margin
-    return ratio, None
+            return b * STEP - margin
+    return None
 
 
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float | None], order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,14 +179,31 @@ def filter_quality(docs: DataFrame, model: tuple[np.ndarray, float | None], orde
     return kept.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts of labelled good documents: the target.
+def _good(labels: DataFrame) -> DataFrame:
+    """good: the ids that no label calls bad, each once."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").alias("good"))
 
-    The target is a bounded sample of the labelled rows: at most `most` ids, those of
-    the smallest hash, so the ids that are broadcast take 160 kB at most.  The texts
-    are written once and read by each pass of `fit`.
-    """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    ids = stage(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("good")), "quality-ids")
+
+def _trusted(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return stage(rows.join(F.broadcast(ids), F.col("id") == F.col("good"), "left_semi").select("text"), "quality-target")
+    return rows.join(good, F.col("id") == F.col("good"), "left_semi").select("text")
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts of all labelled good documents: the target.
+
+    Where the ids are too many to be broadcast, the join shuffles the texts once; the
+    target's are written and read by each pass of `fit`.
+    """
+    return stage(_trusted(docs, _good(labels), id_col, text_col), "quality-target")
+
+
+def score_labelled(docs: DataFrame, labels: DataFrame, order: int = 2, buckets: int = 16_384, quantile: float = 0.005, margin: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score_quality by the model that trusted_texts and fit give, with each text scored once: the target's scores are taken from all rows'."""
+    ensure_importable(docs.sparkSession)
+    good = stage(_good(labels), "quality-ids")
+    target = gram_counts(_trusted(docs, good, id_col, text_col), order, buckets)
+    ratio = log_ratio(target, gram_counts(docs.selectExpr(f"cast(`{text_col}` as string) text"), order, buckets))
+    scores = stage(score_quality(docs, (ratio, None), order, id_col, text_col), "quality-scores")
+    threshold = _threshold(scores.join(good, F.col("doc_id") == F.col("good"), "left_semi"), quantile, margin)
+    return scores if threshold is None else scores.withColumn("kept", F.col("kept") & (F.col("score") >= threshold))

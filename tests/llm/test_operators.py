@@ -440,6 +440,30 @@ def test_quality_separates_junk(spark):
     assert not any(d % 4 == 0 for d in kept) and len(kept) > 0.95 * len([d for d in base if d % 4])
 
 
+def test_quality_target_is_every_labelled_document(spark):
+    n = 20_050
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 5 = 0, concat('rare', id), 'a common word') text")
+    labels = spark.range(n).selectExpr("id doc_id", "1 quality")
+    assert quality.trusted_texts(docs, labels).count() == n
+    counts = quality.gram_counts(quality.trusted_texts(docs, labels.unionByName(labels.selectExpr("doc_id", "if(doc_id < 7, 0, 1) quality"))), 1, 16_384)
+    assert counts.sum() == 3 * (n - n // 5) + n // 5 - 3 * 5 - 2
+
+
+def test_quality_scored_once_or_twice_is_the_same(spark, docs):
+    # Repeated ids and rows, a null id.
+    table = spark.createDataFrame([*docs, *docs[20:50], *((d, t) for (d, _), (_, t) in zip(docs[30:60], docs[60:90])), (None, docs[40][1])], "doc_id long, text string").repartition(3)
+    for bad in (range(0, 150, 3), range(200)):
+        labels = spark.createDataFrame([(d, int(d not in bad)) for d in range(150)], "doc_id long, quality int")
+        want = quality.score_quality(table, quality.fit(table, quality.trusted_texts(table, labels)))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if len(bad) < 200 else "10m")
+        try:
+            got = quality.score_labelled(table, labels)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert 0 < got.filter("kept").count() < got.count()
+
+
 def test_every_secret_rule_is_linear(spark):
     """A megabyte of each rule's own beginnings, without a match that ends it early."""
     heads = ["eyJ", "password ", "token:", "AKIA", "0123456789abcdef", "ghp_", "xoxb-", "-----BEGIN ", "eyJabcdefgh.", "secret=\"", "api_key" + " " * 50]
