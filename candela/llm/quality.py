@@ -34,8 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import ensure_importable, stage
+from .common import ensure_importable, small_batches, stage
+from .encoding import forget_encoders
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -57,6 +59,11 @@ def word_codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """Free this worker's codes: the next task may be another operator's."""
+    _memo.clear()
+
+
 def gram_buckets(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
     """Bucket of every n-gram of 1 to order words."""
     out, rolled = [], np.zeros(len(codes), np.uint64)
@@ -97,11 +104,13 @@ def gram_counts(texts: DataFrame, order: int, buckets: int) -> np.ndarray:
     ensure_importable(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()  # the worker may have packed before
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     total += np.bincount(gram_buckets(word_codes(WORD.findall(text)), order, buckets), minlength=buckets)
+        forget_words()
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full], pa.int64())], names=["bucket", "n"])
 
@@ -119,13 +128,16 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np
     return np.log(p) - np.log(q)
 
 
-def _scored(rows: DataFrame, ratio: np.ndarray, order: int, threshold: float | None) -> DataFrame:
-    """rows: text first, other columns after it; adds the columns of SCHEMA."""
-    others = rows.schema.fields[1:]
+def _scored(rows: DataFrame, ratio: np.ndarray, order: int, threshold: float | None, keep_text: bool = False) -> DataFrame:
+    """rows: text first, other columns after it; adds the columns of SCHEMA. The text itself goes unless keep_text."""
+    begin = 0 if keep_text else 1
+    others = rows.schema.fields[begin:]
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_encoders()  # the worker may have packed before
+        # Small slices also go back to Spark as small batches.
+        for batch in small_batches(batches, 1024):
             out = [[] for _ in range(8)]
             for text in batch.column(0).to_pylist():
                 words = WORD.findall(text) if text else []
@@ -136,7 +148,8 @@ def _scored(rows: DataFrame, ratio: np.ndarray, order: int, threshold: float | N
                 for c, v in zip(out, (*m, score, failed, not failed and (threshold is None or score >= threshold))):
                     c.append(v)
             kinds = [pa.int64()] * 5 + [pa.float64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1) for k in range(len(names))), *(pa.array(c, t) for c, t in zip(out, kinds))], names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k + begin) for k in range(len(names))), *(pa.array(c, t) for c, t in zip(out, kinds))], names=[*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"])
+        forget_words()
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     return rows.mapInArrow(run, f"{head}, {SCHEMA}" if head else SCHEMA)
@@ -174,9 +187,11 @@ def filter_quality(docs: DataFrame, model: tuple[np.ndarray, float | None], orde
     """docs' own rows and columns that are kept."""
     ensure_importable(docs.sparkSession)
     fields = docs.schema.fields
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("0"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)))
-    kept = _scored(rows, model[0], order, model[1]).filter("kept")
-    return kept.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)))
+    # A text that is a string already passes through Python once.
+    names = ["text" if f.name == text_col and f.dataType == StringType() else f"c{i}" for i, f in enumerate(fields)]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{f.name}`").alias(n) for f, n in zip(fields, names) if n != "text"))
+    kept = _scored(rows, model[0], order, model[1], "text" in names).filter("kept")
+    return kept.select(*(F.col(n).alias(f.name) for f, n in zip(fields, names)))
 
 
 def _good(labels: DataFrame) -> DataFrame:

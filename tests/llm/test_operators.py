@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,6 +450,21 @@ def test_quality_target_is_every_labelled_document(spark):
     assert counts.sum() == 3 * (n - n // 5) + n // 5 - 3 * 5 - 2
 
 
+def test_workers_keep_no_words_between_tasks(spark, table):
+    def kept(batches):
+        from candela.llm import neardup, quality
+
+        for _ in batches:
+            pass
+        time.sleep(0.2)
+        yield pa.RecordBatch.from_arrays([pa.array([len(neardup._memo) + len(quality._memo)])], names=["n"])
+
+    whole = quality.fit(table, table)
+    quality.score_quality(table, whole).collect()
+    neardup.near_duplicates(table).collect()
+    assert [r.n for r in spark.range(0, 32, 1, 32).mapInArrow(kept, "n long").collect()] == [0] * 32
+
+
 def test_quality_scored_once_or_twice_is_the_same(spark, docs):
     # Repeated ids and rows, a null id.
     table = spark.createDataFrame([*docs, *docs[20:50], *((d, t) for (d, _), (_, t) in zip(docs[30:60], docs[60:90])), (None, docs[40][1])], "doc_id long, text string").repartition(3)
