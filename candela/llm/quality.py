@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import ensure_importable, small_batches, stage
+from .common import bit, ensure_importable, located, small_batches, stage
 from .encoding import forget_encoders
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,10 +207,16 @@ def _trusted(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> Da
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts of all labelled good documents: the target.
 
-    Where the ids are too many to be broadcast, the join shuffles the texts once; the
-    target's are written and read by each pass of `fit`.
+    Only ids meet the labels: the join gives a bitmap for each block of rows of docs' files, by which
+    the texts are picked where they are read.  No hint: the bitmaps, a bit a row, are staged, so Spark
+    broadcasts them while they are small; beyond that the join shuffles the texts once.
     """
-    return stage(_trusted(docs, _good(labels), id_col, text_col), "quality-target")
+    rows = located(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), "file", "row")
+    block = F.bitmap_bucket_number("row").alias("block")
+    found = rows.select("id", "file", "row").join(_good(labels), F.col("id") == F.col("good"), "left_semi")
+    bits = stage(found.groupBy("file", block).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits")), "quality-rows")
+    placed = rows.select("text", "file", block, F.bitmap_bit_position("row").alias("place"))
+    return stage(placed.join(bits, ["file", "block"]).filter(bit(F.col("bits"), F.col("place"))).select("text"), "quality-target")
 
 
 def score_labelled(docs: DataFrame, labels: DataFrame, order: int = 2, buckets: int = 16_384, quantile: float = 0.005, margin: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import time
 from collections import Counter
 
@@ -450,6 +451,28 @@ def test_quality_target_is_every_labelled_document(spark):
     assert counts.sum() == 3 * (n - n // 5) + n // 5 - 3 * 5 - 2
 
 
+def test_quality_target_moves_no_texts(spark, tmp_path):
+    """More ids than are broadcast: they are shuffled, the texts are not."""
+    n = 40_000
+    spark.range(0, n, 1, 1).selectExpr("id doc_id", "if(id % 50 = 0, null, concat('text ', id, repeat(' word', id % 7))) text").write.parquet(f"{tmp_path}/docs")
+    spark.range(0, n, 3, 2).selectExpr("id doc_id", "int(id % 2) quality").write.parquet(f"{tmp_path}/labels")
+    docs, labels = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels")
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = quality.trusted_texts(docs, labels)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    after = runs.executionsCount()
+    want = docs.filter("doc_id % 3 = 0 and doc_id % 2 = 1").select("text")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plans = [runs.executionsList().apply(i).physicalPlanDescription() for i in range(before, after)]
+    moved = [c for p in plans for c in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", p)]
+    assert moved and not any("text#" in c for c in moved), moved
+
+
 def test_workers_keep_no_words_between_tasks(spark, table):
     def kept(batches):
         from candela.llm import neardup, quality
