@@ -18,7 +18,8 @@ A whole table goes through one pass without a shuffle:
 
 Both ends of step 2 run in one task over the same stream of rows, in order, so a
 word is folded once per task.  When a task has seen `keep` words, both ends drop
-what they know at the same row; memory stays bounded.
+what they know at the same row; memory stays bounded.  Small splits of a table's files are put together, as a longer task folds
+fewer words anew.
 
 Defined results: null and empty texts have no ids; repeated rows give repeated
 results; an empty table gives an empty table; extra columns are ignored.  A single
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_importable, small_batches, text_slices
+from .common import ensure_importable, file_bytes, small_batches, text_slices
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +57,8 @@ _IDS, _PLACES = (1 << _ID) - 1, ((1 << _PLACE) - 1) << _ID
 _NONE = 1 << _OWNER  # pairs from here on make no token
 #: Bytes of a word that is folded in one array, and pairs in a block of a longer one.
 FLAT, BLOCK = 128, 256
+#: Bytes of files for a task: the more documents it has, the fewer words are folded again by another.
+TASK_BYTES = 32_000_000
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +91,41 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return at, entries
 
 
+def sure_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """(3, 257 * 257) ranks by two neighbouring bytes, _IDS for none: of the two joined, and the bounds that tell which pairs of bytes are sure.
+
+    A pair whose rank is below the left bound of the two bytes one place before it and below the right bound of the two one place after it is merged
+    before either of its bytes meets another: the bounds are the lowest ranks by which the pair's first byte ever joins a token that ends in the byte
+    before, and by which its last joins one that begins with the byte after. A rank is left out where a token made with the joined pair has a lower one;
+    so what comes of it waits its turn, and all sure pairs can be merged at once.
+    """
+    joined, left, right = bounds = np.full((3, 257, 257), _IDS)
+    later = dict.fromkeys(ranks, _IDS)
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = token[:k], token[k:]
+            if a in ranks and b in ranks:
+                at = a[-1], b[0]
+                later[a], later[b] = min(later[a], rank), min(later[b], rank)
+                if len(b) == 1:
+                    left[at] = min(left[at], rank)
+                if len(a) == 1:
+                    right[at] = min(right[at], rank)
+    for token, rank in ranks.items():
+        if len(token) == 2 and rank < later[token]:
+            joined[token[0], token[1]] = rank
+    return bounds.reshape(3, -1)
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: struct of at, entries, first (the pair that each code of _codes begins as) and end (the token of a word's ends)."""
+    """The rank map as a literal: struct of at, entries, first (the pair that each code of _codes begins as), end (the token of a word's ends) and sure_pairs."""
     at, entries = pair_table(ranks)
     tokens = np.array([*(ranks[bytes([b])] for b in range(256)), len(at) - 1])
     first = entries[at[tokens][:, None] + tokens] ^ (tokens << _OWNER)[:, None] | tokens
     whole = {"at": at.tolist(), "entries": entries.tolist(), "first": [*first.ravel().tolist(), _NONE | len(at) - 1], "end": len(at) - 1}
-    return F.from_json(F.lit(json.dumps(whole)), "struct<at:array<bigint>,entries:array<bigint>,first:array<bigint>,end:bigint>")
+    whole |= {name: [*bounds.tolist(), _IDS] for name, bounds in zip(("joined", "left", "right"), sure_pairs(ranks))}
+    fields = "at:array<bigint>,entries:array<bigint>,first:array<bigint>,end:bigint,joined:array<bigint>,left:array<bigint>,right:array<bigint>"
+    return F.from_json(F.lit(json.dumps(whole)), f"struct<{fields}>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -121,16 +152,16 @@ def _pair(table: Column, a: Column, b: Column, rest: Column) -> Column:
     return table["entries"][table["at"][a] + b].bitwiseXOR(F.shiftleft(a, _OWNER)).bitwiseOR(rest)
 
 
-def _merge(table: Column, pairs: Column, best: Column, at: Column, behind=lambda rest: rest) -> Column:
-    """The pairs once the pair `best`, which joins, has become one token. at: its index; two pairs are before it and one after."""
+def _joined(table: Column, pairs: Column, best: Column, k: Column) -> tuple[Column, Column]:
+    """The pairs before and after the token that the pair `best`, which joins, becomes. k: its index; two pairs are before it and one after."""
+    joined, after = F.shiftright(best, _RANK), _right(pairs[k + 1])
+    left = _pair(table, _right(pairs[k - 2]), joined, pairs[k - 1].bitwiseAND(F.lit(_PLACES)).bitwiseOR(joined))
+    return left, _pair(table, joined, after, best.bitwiseAND(F.lit(_PLACES)).bitwiseOR(after))
 
-    def replaced(k: Column) -> Column:
-        joined, after = F.shiftright(best, _RANK), _right(pairs[k + 1])
-        left = _pair(table, _right(pairs[k - 2]), joined, pairs[k - 1].bitwiseAND(F.lit(_PLACES)).bitwiseOR(joined))
-        right = _pair(table, joined, after, best.bitwiseAND(F.lit(_PLACES)).bitwiseOR(after))
-        return F.concat(F.slice(pairs, F.lit(1), k - 1), F.array(left, right), behind(F.slice(pairs, k + 3, F.size(pairs))))
 
-    return _let(at, replaced)
+def _merge(table: Column, pairs: Column, best: Column, at: Column) -> Column:
+    """The pairs once the pair `best`, whose index is `at`, has become one token."""
+    return _let(at, lambda k: F.concat(F.slice(pairs, F.lit(1), k - 1), F.array(*_joined(table, pairs, best, k)), F.slice(pairs, k + 3, F.size(pairs))))
 
 
 def _first_pairs(table: Column, codes: Column, place) -> Column:
@@ -143,17 +174,39 @@ def _tokens(pairs: Column, end: Column) -> Column:
     return F.filter(F.transform(pairs, _right), lambda t: t < end)
 
 
+def _sure_tokens(table: Column, codes: Column) -> Column:
+    """array<bigint>: a word's tokens, an end before and after them, once all sure pairs of its bytes are merged (see sure_pairs)."""
+
+    def sure(c: Column, i: Column) -> Column:
+        rank = table["joined"][c]
+        return F.when((rank < F.get(table["right"], F.get(codes, i + 1))) & (rank < F.get(table["left"], F.get(codes, i - 1))), rank)
+
+    def token(merged: Column):
+        # A byte that the pair after it has taken is left out.
+        return lambda c, i: F.coalesce(merged[i], F.when(F.get(merged, i + 1).isNull(), _right(table["first"][c])))
+
+    return _let(F.transform(codes, sure), lambda merged: F.filter(F.transform(codes, token(merged)), lambda t: t.isNotNull()))
+
+
 def _fold_flat(table: Column, codes: Column) -> Column:
-    """State: the array of pairs, whose places are their indices. A step merges the smallest."""
+    """State: the array of pairs, whose places are their indices. A step merges the smallest; the array keeps its length, with ends behind the word's."""
 
-    def merge(pairs: Column, best: Column) -> Column:
-        at = F.shiftright(best.bitwiseAND(F.lit(_PLACES)), _ID).cast("int")
-        return _merge(table, pairs, best, at, lambda rest: F.transform(rest, lambda e: e - F.lit(1 << _ID)))
+    def pairs_of(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t, i: _pair(table, tokens[F.greatest(i - 1, F.lit(0))], t, F.shiftleft(i.cast("long"), _ID).bitwiseOR(t)))
 
     def step(pairs: Column, _: Column) -> Column:
-        return _let(F.array_min(pairs), lambda best: F.when(best < F.lit(_NONE), merge(pairs, best)).otherwise(pairs))
+        def merged(k: Column, best: Column) -> Column:
+            left, right = _joined(table, pairs, best, k)
+            moved = lambda e, i: F.coalesce(F.get(pairs, i + 1), e) - F.lit(1 << _ID)
+            return F.transform(pairs, lambda e, i: F.when(i > k, moved(e, i)).when(i == k, right).when(i == k - 1, left).otherwise(e))
+
+        at = lambda best: F.shiftright(best.bitwiseAND(F.lit(_PLACES)), _ID).cast("int")
+        return _let(F.array_min(pairs), lambda best: F.when(best < F.lit(_NONE), _let(at(best), lambda k: merged(k, best))).otherwise(pairs))
 
-    return F.aggregate(F.sequence(F.lit(4), F.size(codes)), _first_pairs(table, codes, lambda i: i), step, lambda pairs: _tokens(pairs, table["end"]))
+    def folded(pairs: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(4), F.size(pairs)), pairs, step, lambda p: _tokens(p, table["end"]))
+
+    return _let(_let(_sure_tokens(table, codes), pairs_of), folded)
 
 
 def _fold_blocks(table: Column, codes: Column, size: int) -> Column:
@@ -216,10 +269,10 @@ def fold_codes(codes: Column, table: Column, flat: int = FLAT, block: int = BLOC
 
 
 def with_ids(words: DataFrame, ranks: dict[bytes, int], column: str) -> DataFrame:
-    """words: a column of arrays of words' codes; it becomes arrays of (ids: comma-joined figures; bytes: the ids decoded)."""
+    """words: a column of arrays of words' codes; it becomes arrays of (ids; bytes: the ids decoded)."""
     table = rank_literal(ranks)
     decoder = piece_literal(ranks)
-    encoded = F.transform(F.col(column), lambda w: _let(fold_codes(w, table), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), decode(ids, decoder).alias("bytes"))))
+    encoded = F.transform(F.col(column), lambda w: _let(fold_codes(w, table), lambda ids: F.struct(ids.alias("ids"), decode(ids, decoder).alias("bytes"))))
     return words.withColumn(column, encoded)
 
 
@@ -265,10 +318,11 @@ def reclassified() -> dict[str, str]:
 class Splitter:
     """Texts as word numbers (bytes of u32). The words of each space-led unit are remembered: the pattern never matches across a space before a word.
 
+    Once `keep_units` units have come, those not met since the last such time are forgotten; words keep their numbers.
     classes: see reclassified; where a text has such a character, the words are found in a copy with its stand-in.
     """
 
-    def __init__(self, pattern: str, classes: dict[str, str] | None = None):
+    def __init__(self, pattern: str, classes: dict[str, str] | None = None, keep_units: int = 240_000):
         import re
 
         import regex
@@ -277,11 +331,13 @@ class Splitter:
         self.findall, self.finditer = whole.findall, whole.finditer
         self.moved = {c: s for s, chars in (classes or {}).items() for c in chars}
         self.stand_ins = str.maketrans(self.moved)
+        self.keep_units = keep_units
         self.irregular = re.compile(r" (?=\s|\Z)").search
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known = _Numbers()
 
     def find(self, text: str) -> list[str]:
@@ -312,7 +368,12 @@ class Splitter:
         for b in bodies:
             if b:
                 seen.update(b[1:])
-        self.learn(list(seen.difference(self.units)))
+        if len(self.units) > self.keep_units:
+            self.older, self.units = self.units, {}
+        need = seen.difference(self.units)
+        again = {u: self.older[u] for u in need if u in self.older}
+        self.units.update(again)
+        self.learn(list(need.difference(again)))
         out = []
         for text, body in zip(texts, bodies):
             if not text:
@@ -328,14 +389,6 @@ class Splitter:
         return out, [w.encode() for w in fresh]
 
 
-def _strings(column) -> list[bytes]:
-    """An Arrow column of strings or binaries as bytes objects, straight from its buffers."""
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
-    raw = data.to_pybytes() if data else b""
-    return [raw[a:b] for a, b in zip(at, at[1:])]
-
-
 def _codes(words: list[bytes]) -> pa.Array:
     """One row: an array of each word's byte array with both neighbours in one number: 257 * left + right, 256 for an end; before them 257 * 257."""
     raw = np.frombuffer(b"".join(words), np.uint8)
@@ -352,56 +405,71 @@ def _codes(words: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32())))
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 400_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
+def _joined_values(known: pa.Array, words: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The words' values, concatenated between every two of the ends."""
+    _, offsets, data = known.take(pa.array(words)).buffers()
+    at = np.frombuffer(offsets, np.int64)[ends].tolist() if len(words) else [0] * len(ends)
+    whole = memoryview(data) if data else memoryview(b"")
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
+def tasks(docs: DataFrame) -> int | None:
+    """How many tasks a plain table's files are worth: TASK_BYTES each, but two for each core at least; None for other plans, which stay as they are."""
+    size = file_bytes(docs)
+    return None if size is None else max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: int = 640_000, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), bytes (the decoded ids); digests_only: their SHA-256 in place of the last two."""
     ensure_importable(docs.sparkSession)
-    classes = reclassified()
+    classes, size = reclassified(), max(ranks.values()) + 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(pattern, classes)
         for batch in small_batches(batches, 1024):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in text_slices(texts, 1_000_000):
-                drop = len(splitter.known) > keep or len(splitter.units) > 2 * keep
+                drop = len(splitter.known) > keep
                 if drop:
                     splitter.clear()
                 numbers, words = splitter.split(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([pa.array([keys[lo:hi]], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary())), _codes(words), pa.array([drop])], names=["doc_ids", "numbers", "words", "drop"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of: list[bytes] = []
-        bytes_of: list[bytes] = []
+        empty, figures = pa.array([], pa.large_binary()), pa.array([b"%d," % i for i in range(size)], pa.large_binary())
+        ids_of = bytes_of = empty
         counts = np.zeros(0, np.int32)
         for batch in batches:
             for r in range(batch.num_rows):
                 if batch.column(3)[r].as_py():
-                    ids_of.clear(), bytes_of.clear()
-                    counts = counts[:0]
+                    ids_of, bytes_of, counts = empty, empty, counts[:0]
                 new = batch.column(2)[r].values  # flat: the fields' values without a Python object per struct
                 if new.field("bytes").null_count:
                     raise ValueError("an id without a piece")
-                fresh = _strings(new.field("ids"))
-                ids_of.extend(fresh)
-                bytes_of.extend(_strings(new.field("bytes")))
-                counts = np.concatenate((counts, np.fromiter((x.count(b",") + 1 for x in fresh), np.int32, len(fresh))))
+                ids = new.field("ids")
+                ends = ids.offsets.to_numpy()
+                text = figures.take(ids.flatten()).buffers()
+                starts = np.frombuffer(text[1], np.int64)[ends - ends[0]] if len(ids) else np.zeros(1, np.int64)
+                fresh = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts), text[2]])
+                ids_of, bytes_of = pa.concat_arrays([ids_of, fresh]), pa.concat_arrays([bytes_of, new.field("bytes").cast(pa.large_binary())])
+                counts = np.concatenate((counts, np.diff(ends)))
                 keys, numbers = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                totals, ids_out, bytes_out = [], [], []
-                for raw in numbers:
-                    at = np.frombuffer(raw, "<u4")
-                    totals.append(int(counts[at].sum()))
-                    at = at.tolist()
-                    ids, whole = b",".join(map(ids_of.__getitem__, at)), b"".join(map(bytes_of.__getitem__, at))
-                    if digests_only:
-                        ids_out.append(hashlib.sha256(ids).hexdigest())
-                        bytes_out.append(hashlib.sha256(whole).hexdigest())
-                    else:
-                        ids_out.append(list(map(int, ids.split(b","))) if ids else [])
-                        bytes_out.append(whole)
+                words = np.frombuffer(b"".join(numbers), "<u4")
+                ends = np.cumsum([0, *(len(n) // 4 for n in numbers)])
+                totals = np.diff(np.concatenate(([0], np.cumsum(counts[words], dtype=np.int64)))[ends])
+                ids, wholes = (_joined_values(known, words, ends) for known in (ids_of, bytes_of))
+                ids = [x[:-1] for x in ids]  # without the last comma
+                if digests_only:
+                    ids_out, bytes_out = ([hashlib.sha256(x).hexdigest() for x in out] for out in (ids, wholes))
+                else:
+                    ids_out, bytes_out = [list(map(int, bytes(x).split(b","))) if x else [] for x in ids], list(map(bytes, wholes))
                 kinds = (pa.string(), pa.string()) if digests_only else (pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(totals, pa.int64()), pa.array(ids_out, kinds[0]), pa.array(bytes_out, kinds[1])], names=names)
 
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests_only else ("ids", "bytes"))]
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
+    if count := tasks(docs):
+        rows = rows.coalesce(count)
     blocks = rows.mapInArrow(split, "doc_ids array<long>, numbers array<binary>, words array<array<int>>, drop boolean")
     kind = "ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, bytes binary"
     return with_ids(blocks, ranks, "words").mapInArrow(join, f"doc_id long, n_tokens long, {kind}")

@@ -345,6 +345,65 @@ def test_bpe_folds_flat_and_in_blocks(spark, flat, block):
         assert row.ids == library._encode_single_piece(row.w.encode("latin-1")), row.w
 
 
+def _merged(word, ranks):
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_bpe_merges_sure_pairs_at_once(spark):
+    """Also where tokens have lower ranks than what they are made of, equal neighbours and overlapping pairs."""
+    r, letters = random.Random(13), b"abc"
+    longer = [bytes(r.choice(letters) for _ in range(n)) for n in (2,) * 12 + (3,) * 20 + (4,) * 20 + (6,) * 5]
+    tokens = list(dict.fromkeys([*(bytes([b]) for b in range(256)), *longer]))
+    for shuffled in range(3):
+        order = tokens[:256] + (r.sample(tokens[256:], len(tokens) - 256) if shuffled else tokens[256:])
+        ranks = {t: i for i, t in enumerate(order)}
+        words = ["".join(map(chr, r.choices(letters, k=r.randint(1, 14)))) for _ in range(300)]
+        table = bpe.rank_literal(ranks)
+        codes = F.from_json(F.lit(str(bpe._codes([w.encode() for w in words]).to_pylist()[0])), "array<array<int>>")
+        one = spark.range(1).select(F.transform(codes, lambda c: F.struct(bpe._let(table, lambda t: F.size(bpe._sure_tokens(t, c))).alias("n"), bpe.fold_codes(c, table).alias("ids"))).alias("x"))
+        got = one.first().x
+        assert [x.ids for x in got] == [_merged(w.encode(), ranks) for w in words]
+        assert sum(x.n - 2 for x in got) < sum(map(len, words))  # fewer tokens than bytes to begin with
+
+
+def test_bpe_hands_a_word_over_once_though_units_are_forgotten():
+    splitter, handed, want, got = bpe.Splitter(P.PATTERN, keep_units=10), [], [], []
+    for n in range(40):
+        texts = [f"the end, {'abcdefghij'[n // 10]}{'klmnopqrst'[n % 10]}x of the day", "the day's end" + f" rare{n}"]
+        numbers, fresh = splitter.split(texts)
+        handed += fresh
+        want += texts
+        got += [b"".join(handed[i] for i in memoryview(x).cast("I")).decode() for x in numbers]
+        assert len(splitter.units) < 30
+    assert got == want and len(handed) == len(set(handed))
+
+
+def test_bpe_over_many_drops_and_files(spark, tmp_path):
+    """Splits of small files are put together; ids stay right when both ends forget words."""
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [(i, None if i % 50 == 0 else f"The number {i * i} of word{i % 7}x, again: don't {'ab' * (i % 5)}é") for i in range(5000)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = bpe.encode_documents(spark.read.parquet(str(tmp_path / "t")), ranks, P.PATTERN, keep=60)
+    assert {r.doc_id: (r.n_tokens, r.ids) for r in df.collect()} == {i: (len(x), x) for i, t in texts for x in [encoding.encode_ordinary(t or "")]}
+    many = spark.createDataFrame(texts, "doc_id long, text string").repartition(40)
+    many.write.parquet(str(tmp_path / "m"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        files = spark.read.parquet(str(tmp_path / "m"))
+        assert files.rdd.getNumPartitions() >= 40
+        assert bpe.encode_documents(files, ranks, P.PATTERN).rdd.getNumPartitions() <= bpe.tasks(files) < 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_bpe_has_the_unicode_classes_of_the_library(spark):
     """Characters that newer tables count as letters or numbers, before contractions, figures, letters and white space."""
     import tiktoken
